@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import near
+from . import copies, families, near, overlap, pieces, quotas
 
 
 def _processed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -22,6 +22,66 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near.near_groups(_processed(spark, d, "doc_id", "text"))
 
 
+def _families(spark: SparkSession, d: str) -> DataFrame:
+    return families.families(_processed(spark, d, "doc_id", "author_id", "source", "raw_id"), table(spark, d, "author_links", "author_id_a", "author_id_b"))
+
+
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "split_documents", "doc_id", "split")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return families.torn(_families(spark, d), _split(spark, d))
+
+
+def p2_assign(spark: SparkSession, d: str) -> DataFrame:
+    return families.assign(_families(spark, d), _split(spark, d))
+
+
+def p2_fresh_shares(spark: SparkSession, d: str) -> DataFrame:
+    return families.shares_reached(families.assign(_families(spark, d)))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.oversized(_processed(spark, d, "doc_id", "text"))
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.pieces(_processed(spark, d, "doc_id", "text"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies.copies(_processed(spark, d, "doc_id", "text"))
+
+
+def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    return copies.collapsed(_processed(spark, d, "doc_id", "text"))
+
+
+def _cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _processed(spark, d, "doc_id", "lang", "genre", "length_bucket"), table(spark, d, "sampling_targets")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return quotas.cell_report(*_cells(spark, d)).where("short").select("lang", "genre", "length_bucket")
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return quotas.cell_report(*_cells(spark, d))
+
+
+def p5_sample(spark: SparkSession, d: str) -> DataFrame:
+    return quotas.sample(*_cells(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.crossing(_processed(spark, d, "doc_id", "text"), _split(spark, d)).select("doc_id_a", "doc_id_b")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(_processed(spark, d, "doc_id", "text", "author_id", "source"), _split(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
