@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import copies, families, near, overlap, pieces, quotas
+from . import containers, copies, families, language, mixing, near, overlap, pieces, quotas, sizes
 
 
 def _processed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -82,6 +83,50 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(_processed(spark, d, "doc_id", "text", "author_id", "source"), _split(spark, d))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.mislabelled(_processed(spark, d, "doc_id", "lang", "text"))
+
+
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    return language.documents(_processed(spark, d, "doc_id", "lang", "text"))
+
+
+def p7_passages(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(_processed(spark, d, "doc_id", "lang", "text"))
+
+
+def _raw(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return table(spark, d, "documents", *columns)
+
+
+_VOCABULARY = f"{sizes.TOKENIZERS}/{sizes.VOCABULARY}"
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    placed = containers.containers(_raw(spark, d, "doc_id", "text"), sizes.UNITS)
+    return placed.where("piece_no = 0 and n_pieces > 1").select(F.col("doc_id").cast("bigint").alias("doc_id"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return containers.containers(_raw(spark, d, "doc_id", "text"), _VOCABULARY)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return containers.fill(containers.containers(_raw(spark, d, "doc_id", "text"), _VOCABULARY))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(_raw(spark, d, "doc_id", "source", "text"), table(spark, d, "mix_targets")).where("short").select("source")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_raw(spark, d, "doc_id", "source", "text"), table(spark, d, "mix_targets"), _VOCABULARY)[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(_raw(spark, d, "doc_id", "source", "text"), table(spark, d, "mix_targets"), _VOCABULARY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
