@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import containers, copies, families, language, mixing, near, overlap, pieces, quotas, sizes
+from . import containers, copies, families, language, mixing, near, overlap, pieces, quotas, sizes, subjects
 
 
 def _processed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -127,6 +127,18 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(_raw(spark, d, "doc_id", "source", "text"), table(spark, d, "mix_targets"), _VOCABULARY)
 
 
+def _areas(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return _raw(spark, d, "doc_id", "text"), table(spark, d, "subject_labels", "doc_id", "subject"), table(spark, d, "subject_areas", "subject")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects(*_areas(spark, d))
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(*_areas(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
