@@ -11,7 +11,7 @@ Copies (equal normal form as written) share one class and are signed, matched an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,44 +67,73 @@ def signatures(uniq: np.ndarray, n: int, trees: int, depth: int) -> tuple[np.nda
     return out, count
 
 
-def _sign(depth_used: int, min_grams: int):
-    schema = pa.schema([("doc_id", pa.string()), ("written", pa.binary()), ("normal", pa.binary()), ("n", pa.int32()), ("nodes", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_SIGNED = [("doc_id", pa.string()), ("written", pa.binary()), ("normal", pa.binary()), ("n", pa.int32()), ("nodes", pa.list_(pa.int64())), ("sketch", pa.binary()), ("prints", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))]
+Prints = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
+    """Row lists of ``values``, whose row numbers ``owner`` ascend."""
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32), pa.array(values))
+
+
+def _sign(depth_used: int, min_grams: int, every: bool, prints: Prints | None):
+    schema = pa.schema(_SIGNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in T.slices(texts):
                 part = texts[lo:hi]
-                uniq = T.distinct(*T.grams(*T.kept(part)))
-                count = np.bincount((uniq >> np.uint64(44)).astype(np.int64), minlength=len(part))
-                ok = np.flatnonzero(count >= min_grams)
-                if not len(ok):
+                cp, off = T.kept(part)
+                uniq = T.distinct(*T.grams(cp, off))
+                doc = (uniq >> np.uint64(44)).astype(np.int64)
+                count = np.bincount(doc, minlength=len(part))
+                big = count >= min_grams
+                if every:
+                    rows = np.flatnonzero(np.diff(off) > 0)
+                else:
+                    rows = np.flatnonzero(big)
+                if not len(rows):
                     continue
-                big = np.isin((uniq >> np.uint64(44)).astype(np.int64), ok)
+                ok = np.flatnonzero(big)
                 renumber = np.zeros(len(part), np.uint64)
                 renumber[ok] = np.arange(len(ok), dtype=np.uint64)
-                u = uniq[big]
+                u = uniq[big[doc]]
                 u = (renumber[(u >> np.uint64(44)).astype(np.int64)] << np.uint64(44)) | (u & np.uint64((1 << 44) - 1))
-                sig, n = signatures(u, len(ok), TREES, depth_used)
+                sig, _ = signatures(u, len(ok), TREES, depth_used)
                 node = np.broadcast_to(np.arange(TREES, dtype=np.uint64), (len(ok), TREES)).copy()
                 for p in range(depth_used):
                     node = T.mix(node * np.uint64(0x100000001B3) + sig[:, p])
                 sketch = (T.mix(sig[:, :2].reshape(len(ok), -1)[:, :SKETCH]) & np.uint64(255)).astype(np.uint8)
-                written, normal, _ = T.keys([part[i] for i in ok])
-                nodes = pa.ListArray.from_arrays(np.arange(0, len(ok) * TREES + 1, TREES, dtype=np.int32), pa.array(node.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[lo + i] for i in ok], pa.string()), pa.array(written, pa.binary()), pa.array(normal, pa.binary()), pa.array(n, pa.int32()), nodes, pa.array([x.tobytes() for x in sketch], pa.binary())], schema=schema)
+                spot = np.full(len(part), -1)
+                spot[ok] = np.arange(len(ok))
+                at = pa.array(spot[rows], mask=spot[rows] < 0)
+                written, normal, _ = T.keys(part)
+                nodes = _lists(node.view(np.int64).ravel(), np.repeat(np.arange(len(ok)), TREES), len(ok))
+                sketches = pa.array([x.tobytes() for x in sketch], pa.binary())
+                if prints and len(ok):
+                    d, place, h = prints(cp, off)
+                    mine = big[d]
+                    owner = renumber[d[mine]].astype(np.int64)
+                    hashes, places = _lists(h[mine].view(np.int64), owner, len(ok)), _lists(place[mine].astype(np.int32), owner, len(ok))
+                else:
+                    hashes, places = (pa.nulls(max(len(ok), 1), t) for t in (pa.list_(pa.int64()), pa.list_(pa.int32())))
+                cols = [pa.array([ids[lo + i] for i in rows], pa.string()), pa.array([written[i] for i in rows], pa.binary()), pa.array([normal[i] for i in rows], pa.binary()), pa.array(count[rows], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*cols, *(x.take(at) for x in (nodes, sketches, hashes, places))], schema=schema)
 
     return run
 
 
-def sign(docs: DataFrame, threshold: float = THRESHOLD, min_grams: int = MIN_GRAMS, target: float = TARGET_RECALL) -> DataFrame:
+def sign(docs: DataFrame, threshold: float = THRESHOLD, min_grams: int = MIN_GRAMS, target: float = TARGET_RECALL, every: bool = False, prints: Prints | None = None) -> DataFrame:
     """Signature table of ``docs`` (doc_id string, text): one row for each text with at least ``min_grams`` distinct
-    substrings, with a bigint ``rid`` that is unique in the table. Null, empty and short texts have no row."""
+    substrings, with a bigint ``rid`` that is unique in the table; with ``every``, also a row of keys without signature
+    for each shorter text. Null and empty texts and those without letter or digit have no row. ``prints`` adds the
+    fingerprints that it selects from the same pass over the text."""
     ship(docs.sparkSession)
     k = prefix_depth(threshold, TREES, target, DEPTH)
-    made = docs.select(F.col("doc_id").cast("string"), "text").where(F.length("text") >= min_grams + T.GRAM - 1)
-    made = made.mapInArrow(_sign(k, min_grams), "doc_id string, written binary, normal binary, n int, nodes array<bigint>, sketch binary")
-    return stash(made.withColumn("rid", F.monotonically_increasing_id()), "signed")
+    made = docs.select(F.col("doc_id").cast("string"), "text").where("text is not null" if every else F.length("text") >= min_grams + T.GRAM - 1)
+    made = made.mapInArrow(_sign(k, min_grams, every, prints), "doc_id string, written binary, normal binary, n int, nodes array<bigint>, sketch binary, prints array<bigint>, places array<int>")
+    return stash((made if prints else made.drop("prints", "places")).withColumn("rid", F.monotonically_increasing_id()), "signed")
 
 
 def classes(signed: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Problem 6: same or near-same records across splits, by winnowing fingerprints.
 
-Every text's normal form gives the smallest rolling hash of each window; two texts that share SPAN = GRAM + WINDOW - 1
-characters share a fingerprint. Fingerprints are joined between train and the evaluation splits; the shared ones of a
+Every text's normal form gives the smallest rolling hash of each window; two texts that share GRAM + WINDOW - 1
+characters on end share a fingerprint. Fingerprints are joined between train and the evaluation splits; the shared ones of a
 pair are chained into collinear runs, the runs extended by comparing characters in both directions, and the characters
 covered are reported on both sides. Pairs are then verified by their exact similarity.
 
@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, stash
+from ..session import stash
 from . import near
 from . import textkit as T
-from .copies import canonical_keys
 
-GRAM, WINDOW = 32, 32
+#: Characters of a fingerprint and fingerprints of a window. Scripts that say more in a character have shorter ones.
+GRAM, WINDOW = 48, 32
+DENSE_GRAM, DENSE_WINDOW = 20, 12
 TRAIN = "train"
 
 
@@ -55,13 +56,25 @@ def winnow(cp: np.ndarray, off: np.ndarray, gram: int = GRAM, window: int = WIND
     return doc[at], place[at], h[at]
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("rid", pa.int64()), ("print", pa.int64()), ("at", pa.int32())])
-    for b in batches:
-        ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-        for lo, hi in T.slices(texts):
-            doc, at, h = winnow(*T.kept(texts[lo:hi]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32))], schema=schema)
+def fingerprints(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowing with the gram of the text's script: texts of mostly CJK, kana or Hangul take the short one, all others
+    the long one, and texts in between both."""
+    heavy = ((cp >= 0x3040) & (cp < 0xA000)) | ((cp >= 0xAC00) & (cp < 0xD7B0))
+    at = np.concatenate(([0], np.cumsum(heavy)))
+    share = (at[off[1:]] - at[off[:-1]]) / np.maximum(np.diff(off), 1)
+    parts = []
+    for chosen, gram, window in ((share < 0.7, GRAM, WINDOW), (share > 0.3, DENSE_GRAM, DENSE_WINDOW)):
+        ids = np.flatnonzero(chosen)
+        if len(ids):
+            mask = np.repeat(chosen, np.diff(off))
+            d, place, h = winnow(cp[mask], np.concatenate(([0], np.cumsum(np.diff(off)[ids]))), gram, window)
+            parts.append((ids[d], place, h))
+    if not parts:
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros(0, np.uint64)
+    doc, place, h = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(doc, kind="stable")
+    return doc[order], place[order], h[order]
 
 
 def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -87,11 +100,11 @@ def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def extend(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], gram: int = GRAM) -> tuple[int, int]:
+def extend(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], gram: int = DENSE_GRAM) -> tuple[int, int]:
     """Characters of x and y that the chained seeds cover once each is extended to both sides as far as they agree."""
     inx, iny = np.zeros(len(x), bool), np.zeros(len(y), bool)
     for a, b in seeds:
-        if inx[a] and inx[min(a + gram, len(x)) - 1] and iny[b]:
+        if inx[a] and inx[min(a + gram, len(x)) - 1] and iny[b] and iny[min(b + gram, len(y)) - 1]:
             continue
         k = min(len(x) - a, len(y) - b)
         miss = np.flatnonzero(x[a : a + k] != y[b : b + k])
@@ -129,24 +142,25 @@ def aligned(docs: DataFrame, split: DataFrame, threshold: float = near.THRESHOLD
     """Links (a, b, similarity, cover_a, cover_b) between class representatives, a with a member in train, b with one
     in another split, and the members (rep, doc_id, normal, split)."""
     at = split.select(F.col("doc_id").cast("string"), "split").where("split is not null").distinct()
-    here = docs.select(F.col("doc_id").cast("string"), "text").join(at.select("doc_id").distinct(), "doc_id", "left_semi")
-    signed = near.sign(here, threshold, min_grams)
-    members = stash(near.classes(signed).join(at, "doc_id"), "members")
-    sides = members.groupBy("rep").agg(F.max(F.col("split") == TRAIN).alias("in_train"), F.max(F.col("split") != TRAIN).alias("in_eval"))
-    reps = signed.select("rid", "doc_id", "sketch").join(sides.withColumnRenamed("rep", "rid"), "rid")
-    reps = stash(reps, "sides")
-    ship(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("string"), "text").join(reps.select("rid", "doc_id"), "doc_id").select("rid", "text")
-    prints = stash(texts.mapInArrow(_prints, "rid bigint, print bigint, at int"), "prints")
-    left = prints.join(reps.where("in_train").select("rid"), "rid", "left_semi").toDF("a", "print", "p")
-    right = prints.join(reps.where("in_eval").select("rid"), "rid", "left_semi").toDF("b", "print", "q")
-    seeds = left.join(right, "print").where("a <> b").groupBy("a", "b").agg(F.collect_set(F.struct("p", "q")).alias("seeds"))  # bounded by the fingerprints of two texts
-    seeds = stash(seeds, "seeds")
-    likely = stash(near.prune(seeds.select("a", "b"), reps, threshold), "likely")
+    signed = near.sign(docs, threshold, min_grams, every=True, prints=fingerprints)
+    reps = signed.join(at, "doc_id").groupBy("written").agg(F.min("rid").alias("rep"), F.max(F.col("split") == TRAIN).alias("in_train"), F.max(F.col("split") != TRAIN).alias("in_eval"))
+    reps = stash(reps, "reps")
+    members = signed.select("rid", "doc_id", "written", "normal", "n").join(at, "doc_id").join(reps.select("written", "rep"), "written").drop("written")
+    members = stash(members, "members")
+    sides = signed.where(F.col("n") >= min_grams).select("rid", "sketch", "prints", "places").join(reps.drop("written").withColumnRenamed("rep", "rid"), "rid")
+    sides = stash(sides, "sides")
+    left = sides.where("in_train").select(F.col("rid").alias("a"), F.explode("prints").alias("print"))
+    right = sides.where("in_eval").select(F.col("rid").alias("b"), F.explode("prints").alias("print"))
+    met = left.join(right, "print").where("a <> b").select("a", "b").distinct()
+    likely = stash(near.prune(met, sides, threshold), "likely")
+    # the shared fingerprints of the pairs that are left; bounded by the fingerprints of two texts
+    zipped = sides.select("rid", F.explode(F.arrays_zip("prints", "places")).alias("x")).select("rid", "x.prints", "x.places")
+    seeds = likely.join(zipped.toDF("a", "print", "p"), "a").join(zipped.toDF("b", "print", "q"), ["b", "print"])
+    seeds = seeds.groupBy("a", "b").agg(F.collect_list(F.struct("p", "q")).alias("seeds"))
     needed = likely.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    whole = docs.select(F.col("doc_id").cast("string"), "text").join(reps.select("rid", "doc_id").join(needed, "rid", "left_semi"), "doc_id").select("rid", "text")
+    whole = docs.select(F.col("doc_id").cast("string"), "text").join(signed.select("rid", "doc_id").join(needed, "rid", "left_semi"), "doc_id").select("rid", "text")
     whole = stash(whole, "texts")
-    both = seeds.join(likely, ["a", "b"], "left_semi").join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b").select("a", "b", "seeds", "ta", "tb")
+    both = seeds.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b").select("a", "b", "seeds", "ta", "tb")
     links = both.mapInArrow(_align(threshold, min_grams), "a bigint, b bigint, similarity double, cover_a double, cover_b double")
     return stash(links, "overlaps"), members
 
@@ -156,16 +170,16 @@ def crossing(docs: DataFrame, split: DataFrame) -> DataFrame:
     equal normal form (kind same, cover 1) or at the threshold (kind near, cover of the evaluation text). Null and
     blank texts and documents in no split are in no pair."""
     links, members = aligned(docs, split)
-    at = split.select(F.col("doc_id").cast("string"), "split").where("split is not null").distinct()
-    m = members.select("rep", "doc_id", "normal", "split")
+    long = members.where(F.col("n") >= near.MIN_GRAMS)
+    m = long.select("rep", "doc_id", "normal", "split")
     train, other = m.where(F.col("split") == TRAIN), m.where(F.col("split") != TRAIN)
-    own = members.select("rep").distinct().select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("cover_b"))
-    mixed = members.groupBy("rep").agg(F.min("normal").alias("lo"), F.max("normal").alias("hi")).where("lo <> hi").select("rep")
+    own = long.select("rep").distinct().select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("cover_b"))
+    mixed = long.groupBy("rep").agg(F.min("normal").alias("lo"), F.max("normal").alias("hi")).where("lo <> hi").select("rep")
     own = own.join(mixed.toDF("a"), "a", "left_semi")
     pairs = links.select("a", "b", "cover_b").unionByName(own)
     nearly = pairs.join(train.toDF("a", "train_id", "na", "sa"), "a").join(other.toDF("b", "eval_id", "nb", "eval_split"), "b").where("na <> nb")
     nearly = nearly.select("train_id", "eval_id", "eval_split", F.lit("near").alias("kind"), F.col("cover_b").alias("cover"))
-    keyed = stash(canonical_keys(docs.join(at.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", "key").join(at, "doc_id"), "normal")
+    keyed = members.select("doc_id", F.col("normal").alias("key"), "split")
     same = keyed.where(F.col("split") == TRAIN).select("key", F.col("doc_id").alias("train_id")).join(keyed.where(F.col("split") != TRAIN).select("key", F.col("doc_id").alias("eval_id"), F.col("split").alias("eval_split")), "key")
     same = same.select("train_id", "eval_id", "eval_split", F.lit("same").alias("kind"), F.lit(1.0).alias("cover"))
     out = nearly.unionByName(same)
