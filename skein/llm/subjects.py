@@ -112,12 +112,20 @@ def _count(subjects: list[str]):
 
 @dataclass
 class Model:
-    """vocabulary: sorted term hashes; weights: (K + 1, V) rows that add up to 1; seed: the labelled counts."""
+    """vocabulary: sorted hashes of the anchored terms; weights: (K + 1, V) shares of each component's terms; seed: the
+    labelled counts; other: labelled count of all terms without anchor, which only the last component has."""
 
     subjects: list[str]
     vocabulary: np.ndarray
     weights: np.ndarray
     seed: np.ndarray
+    other: float
+
+
+def _shares(counts: np.ndarray, other: float) -> np.ndarray:
+    total = counts.sum(1)
+    total[-1] += other
+    return counts / np.maximum(total, 1e-9)[:, None]
 
 
 def seeded(docs: DataFrame, labels: DataFrame, subjects: list[str], least: int = LEAST_DOCS, labelled: int = LABELLED) -> Model:
@@ -146,12 +154,15 @@ def seeded(docs: DataFrame, labels: DataFrame, subjects: list[str], least: int =
     seed = np.where(anchored, n[:-1], 0.0)
     rest = np.maximum(n[-1] - seed.sum(0), 0.02 * n[-1] + PRIOR / 10)
     seed = np.concatenate([seed, rest[None]])
-    return Model(subjects, vocabulary, seed / np.maximum(seed.sum(1, keepdims=True), 1e-9), seed)
+    some = anchored.any(0)
+    other, seed = float(rest[~some].sum()), seed[:, some]
+    return Model(subjects, vocabulary[some], _shares(seed, other), seed, other)
 
 
 def matrix(docs: DataFrame, model: Model) -> DataFrame:
-    """The document-term matrix, sentence by sentence: (doc_id, term numbers, term count of each sentence that counts).
-    Null and blank texts have no row."""
+    """The document-term matrix, sentence by sentence: (doc_id, numbers of the anchored terms, their count in each
+    sentence that counts, count of all other terms). What no subject is anchored to belongs to the last component
+    whatever the weights, so its number is all that the updates need. Null and blank texts have no row."""
     ship(docs.sparkSession)
     vocabulary = model.vocabulary
     rows = docs.select("doc_id", "text").where("text is not null")
@@ -163,18 +174,20 @@ def matrix(docs: DataFrame, model: Model) -> DataFrame:
             for lo, hi in T.slices(texts):
                 t = terms(texts[lo:hi])
                 at = np.searchsorted(vocabulary, t.hash)
-                known = (at < len(vocabulary)) & t.counts[t.sentence]
+                counted = t.counts[t.sentence]
+                known = (at < len(vocabulary)) & counted
                 known[known] = vocabulary[at[known]] == t.hash[known]
                 s, at = t.sentence[known], at[known].astype(np.int32)
                 per = np.bincount(s, minlength=len(t.doc))[t.counts].astype(np.int32)
                 sentences = np.bincount(t.doc[t.counts], minlength=hi - lo)
                 words = np.bincount(t.doc[s], minlength=hi - lo)
+                other = np.bincount(t.doc[t.sentence[counted]], minlength=hi - lo) - words
                 first_s, first_w = (np.concatenate(([0], np.cumsum(x))).astype(np.int32) for x in (sentences, words))
                 full = pa.array(sentences > 0)
-                cols = [b.column(0)[lo:hi], pa.ListArray.from_arrays(first_w, pa.array(at)), pa.ListArray.from_arrays(first_s, pa.array(per))]
-                yield pa.RecordBatch.from_arrays([c.filter(full) for c in cols], names=["doc_id", "terms", "lengths"])
+                cols = [b.column(0)[lo:hi], pa.ListArray.from_arrays(first_w, pa.array(at)), pa.ListArray.from_arrays(first_s, pa.array(per)), pa.array(other.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([c.filter(full) for c in cols], names=["doc_id", "terms", "lengths", "other"])
 
-    return stash(rows.mapInArrow(run, f"doc_id {kind}, terms array<int>, lengths array<int>"), "matrix")
+    return stash(rows.mapInArrow(run, f"doc_id {kind}, terms array<int>, lengths array<int>, other int"), "matrix")
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,18 +195,21 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
 
 
-def _mixtures(terms_: np.ndarray, doc: np.ndarray, n: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _mixtures(terms_: np.ndarray, doc: np.ndarray, other: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Document weights (n, K + 1) after INNER updates, and each occurrence's shares among the components."""
     h = weights[:, terms_].T  # occurrences x components
+    n = len(other)
     w = np.full((n, weights.shape[0]), 1.0 / weights.shape[0])
-    total = np.maximum(np.bincount(doc, minlength=n), 1)[:, None]
+    total = np.maximum(np.bincount(doc, minlength=n) + other, 1)[:, None]
     first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, int)
     r = h
     for _ in range(INNER):
         r = w[doc] * h
         r /= np.maximum(r.sum(1, keepdims=True), 1e-30)
+        w = np.zeros(w.shape)
         if len(first):
             w[doc[first]] = np.add.reduceat(r, first, axis=0)
+        w[:, -1] += other
         w = (w + 1e-3) / total
     return w, r
 
@@ -205,6 +221,7 @@ def _blocks(b: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
 
 def factorise(x: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     """Alternating updates over all documents; what reaches the driver each round is a (K + 1, V) sum."""
+    unanchored = model.other + float(x.agg(F.coalesce(F.sum("other"), F.lit(0)).alias("n")).first().n)
     for _ in range(rounds):
         weights = model.weights.astype(np.float32)
         v = weights.shape[1]
@@ -215,16 +232,16 @@ def factorise(x: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
                 for part in _blocks(b):
                     t, doc = _flat(part.column(0))
                     if len(t):
-                        _, r = _mixtures(t, doc, part.num_rows, weights)
+                        _, r = _mixtures(t, doc, part.column(1).to_numpy(), weights)
                         for k in range(len(total)):
                             total[k] += np.bincount(t, r[:, k], minlength=v)
             k, at = np.nonzero(total > 1e-6)
             for lo in range(0, len(k), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array((k * v + at)[lo : lo + 50_000]), pa.array(total[k, at][lo : lo + 50_000])], names=["cell", "n"])
 
-        sums = x.select("terms").mapInArrow(run, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        sums = x.select("terms", "other").mapInArrow(run, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
         new = np.bincount(sums.cell.to_numpy(), sums.n.to_numpy(), minlength=weights.size).reshape(weights.shape) + model.seed if len(sums) else model.seed
-        model = Model(model.subjects, model.vocabulary, new / np.maximum(new.sum(1, keepdims=True), 1e-9), model.seed)
+        model = Model(model.subjects, model.vocabulary, _shares(new, unanchored), model.seed, model.other)
     return model
 
 
@@ -240,7 +257,7 @@ def shares(x: DataFrame, model: Model) -> DataFrame:
             for part in _blocks(b):
                 t, doc = _flat(part.column(1))
                 lengths, owner = _flat(part.column(2))
-                w, r = _mixtures(t, doc, part.num_rows, weights)
+                w, r = _mixtures(t, doc, part.column(3).to_numpy(), weights)
                 r = r[:, :n_subjects]
                 about = np.full(len(lengths), -1)
                 full = np.flatnonzero(lengths > 0)
