@@ -55,7 +55,10 @@ def controlled_negatives(df: DataFrame, author: str, key: str, source: str, genr
         j = d.withColumn("__o", other)
         j = j.join(F.broadcast(firsts), cell, "left") if cell else j.crossJoin(F.broadcast(firsts))  # a row a cell; cells are sources x genres
         back = F.when(F.col("f1.a") != F.col(author), F.col("f1.k")).otherwise(F.col("f2.k"))
-        found.append(j.select(key, F.when(F.size("__o") > 0, F.col("__o")[0]["k"]).otherwise(back).alias(f"n{i + 1}")))
+        known = F.lit(True)
+        for c in cell:  # a null source or genre is like no other
+            known &= F.col(c).isNotNull()
+        found.append(j.select(key, F.when(known, F.when(F.size("__o") > 0, F.col("__o")[0]["k"]).otherwise(back)).alias(f"n{i + 1}")))
     out = found[0]
     for f in found[1:]:
         out = out.join(f, key)

@@ -197,10 +197,10 @@ def slice_difficulty(spark, d):
 
 
 @query(f"""
-WITH {_R}, b AS (SELECT bucket, metric, CASE WHEN metric = 'eer' THEN min(value) ELSE max(value) END AS baseline FROM r WHERE model IN ('feedpulse', 'headline_briefs') AND value IS NOT NULL GROUP BY bucket, metric)
-SELECT bucket, metric, model, value, baseline, CASE WHEN metric = 'eer' THEN baseline - value ELSE value - baseline END AS gap FROM r JOIN b USING (bucket, metric) WHERE model NOT IN ('feedpulse', 'headline_briefs')""")
+WITH {_R}, b AS (SELECT bucket, metric, CASE WHEN metric = 'eer' THEN min(value) ELSE max(value) END AS baseline FROM r WHERE model IN ('wikitext_crawl', 'freebook_crawl') AND value IS NOT NULL GROUP BY bucket, metric)
+SELECT bucket, metric, model, value, baseline, CASE WHEN metric = 'eer' THEN baseline - value ELSE value - baseline END AS gap FROM r JOIN b USING (bucket, metric) WHERE model NOT IN ('wikitext_crawl', 'freebook_crawl')""")
 def gap_to_baseline(spark, d):
-    return B.gap_to_baseline(results(spark, d), ["feedpulse", "headline_briefs"], "bucket")
+    return B.gap_to_baseline(results(spark, d), ["wikitext_crawl", "freebook_crawl"], "bucket")
 
 
 _SLICES = ["news", "literature", "speech", "poetry"]
@@ -239,7 +239,7 @@ WITH a AS (SELECT doc_id, author_id, source, genre FROM processed_documents WHER
 n AS (SELECT source, genre, count(DISTINCT author_id) AS n FROM a WHERE genre IS NOT NULL AND source IS NOT NULL GROUP BY ALL), s AS (SELECT source, count(DISTINCT author_id) AS n FROM a WHERE source IS NOT NULL GROUP BY ALL), g AS (SELECT genre, count(DISTINCT author_id) AS n FROM a WHERE genre IS NOT NULL GROUP BY ALL)
 SELECT doc_id AS anchor, CASE WHEN coalesce(n.n, 0) > 1 THEN 1 WHEN coalesce(s.n, 0) > 1 THEN 2 WHEN coalesce(g.n, 0) > 1 THEN 3 ELSE 4 END AS level, true AS other_author FROM a LEFT JOIN n USING (source, genre) LEFT JOIN s ON a.source = s.source LEFT JOIN g ON a.genre = g.genre""")
 def controlled_negative(spark, d):
-    p = docs(spark, d, "doc_id", "author_id", "source", "genre").where("author_id is not null and source is not null and genre is not null").unionByName(docs(spark, d, "doc_id", "author_id", "source", "genre").where("author_id is not null and (source is null or genre is null)"))
+    p = docs(spark, d, "doc_id", "author_id", "source", "genre")
     n = T.controlled_negatives(p, "author_id", "doc_id", "source", "genre", 42)
     a = docs(spark, d, "doc_id", "author_id")
     j = n.join(a.toDF("anchor", "x"), "anchor").join(a.toDF("negative", "y"), "negative")
@@ -258,7 +258,7 @@ def token_windows(spark, d):
     return w.select("doc_id", F.col("x.i").alias("window_no"), F.md5(F.array_join("x.w", " ")).alias("digest"))
 
 
-@query(f"WITH {_SCORED}, e AS (SELECT query_id, sum(CASE WHEN positive THEN exp(score / 0.07) END) AS p, sum(exp(score / 0.07)) AS t FROM s GROUP BY ALL) SELECT count(*) AS n_queries, avg(-ln(p / t)) AS loss FROM e WHERE p IS NOT NULL")
+@query(f"WITH {_SCORED}, ee AS (SELECT query_id, sum(CASE WHEN positive THEN exp(score / 0.07) END) AS p, sum(exp(score / 0.07)) AS t FROM s GROUP BY ALL) SELECT count(*) AS n_queries, avg(-ln(p / t)) AS loss FROM ee WHERE p IS NOT NULL")
 def contrastive_loss(spark, d):
     return T.info_nce(scored(spark, d))
 

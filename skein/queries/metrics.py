@@ -61,19 +61,19 @@ def _grouped(by: str = "") -> str:
 def eer_sql(src: str, by: str = "") -> str:
     part, g = (f"PARTITION BY {by} " if by else ""), (f"{by}, " if by else "")
     return f"""{_grouped(by).format(src=src)},
-t AS (SELECT *, sum(p) OVER ({part}) AS P_, sum(n) OVER ({part}) AS N_, sum(p) OVER ({part}ORDER BY score DESC) AS cp, sum(n) OVER ({part}ORDER BY score DESC) AS cn FROM gs),
-r AS (SELECT *, cn::DOUBLE / N_ AS x1, (P_ - cp)::DOUBLE / P_ AS y1 FROM t WHERE P_ > 0 AND N_ > 0),
-l AS (SELECT *, coalesce(lag(x1) OVER ({part}ORDER BY score DESC), 0) AS x0, coalesce(lag(y1) OVER ({part}ORDER BY score DESC), 1) AS y0 FROM r),
-c AS (SELECT *, row_number() OVER ({part}ORDER BY score DESC) AS r FROM l WHERE sign(x0 - y0) <> sign(x1 - y1))
-SELECT {g}P_::BIGINT AS n_positive, N_::BIGINT AS n_negative, CASE WHEN (y0 - x0) + (x1 - y1) = 0 THEN (x0 + y0) / 2 ELSE x0 + least(greatest((y0 - x0) / ((y0 - x0) + (x1 - y1)), 0), 1) * (x1 - x0) END AS eer FROM c WHERE r = 1"""
+gt AS (SELECT *, sum(p) OVER ({part}) AS P_, sum(n) OVER ({part}) AS N_, sum(p) OVER ({part}ORDER BY score DESC) AS cp, sum(n) OVER ({part}ORDER BY score DESC) AS cn FROM gs),
+gr AS (SELECT *, cn::DOUBLE / N_ AS x1, (P_ - cp)::DOUBLE / P_ AS y1 FROM gt WHERE P_ > 0 AND N_ > 0),
+gl AS (SELECT *, coalesce(lag(x1) OVER ({part}ORDER BY score DESC), 0) AS x0, coalesce(lag(y1) OVER ({part}ORDER BY score DESC), 1) AS y0 FROM gr),
+gc AS (SELECT *, row_number() OVER ({part}ORDER BY score DESC) AS r FROM gl WHERE sign(x0 - y0) <> sign(x1 - y1))
+SELECT {g}P_::BIGINT AS n_positive, N_::BIGINT AS n_negative, CASE WHEN (y0 - x0) + (x1 - y1) = 0 THEN (x0 + y0) / 2 ELSE x0 + least(greatest((y0 - x0) / ((y0 - x0) + (x1 - y1)), 0), 1) * (x1 - x0) END AS eer FROM gc WHERE r = 1"""
 
 
 def auc_sql(src: str, by: str = "") -> str:
     part, g = (f"PARTITION BY {by} " if by else ""), (f"{by}, " if by else "")
     return f"""{_grouped(by).format(src=src)},
-t AS (SELECT *, coalesce(sum(p + n) OVER ({part}ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM gs),
-a AS (SELECT {g}sum(p)::DOUBLE AS P_, sum(n)::DOUBLE AS N_, sum(p * (before + (p + n + 1) / 2.0::DOUBLE)) AS s FROM t {'GROUP BY ' + by if by else ''})
-SELECT {g}P_::BIGINT AS n_positive, N_::BIGINT AS n_negative, (s - P_ * (P_ + 1) / 2) / (P_ * N_) AS roc_auc FROM a WHERE P_ > 0 AND N_ > 0"""
+gt AS (SELECT *, coalesce(sum(p + n) OVER ({part}ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM gs),
+ga AS (SELECT {g}sum(p)::DOUBLE AS P_, sum(n)::DOUBLE AS N_, sum(p * (before + (p + n + 1) / 2.0::DOUBLE)) AS s FROM gt {'GROUP BY ' + by if by else ''})
+SELECT {g}P_::BIGINT AS n_positive, N_::BIGINT AS n_negative, (s - P_ * (P_ + 1) / 2) / (P_ * N_) AS roc_auc FROM ga WHERE P_ > 0 AND N_ > 0"""
 
 
 @query(f"WITH {_SCORED}, {eer_sql('s')}")
