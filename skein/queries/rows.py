@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..registry import query
-from ..session import table
+from ..session import stash, table
 
 WS = X.WS
 #: SQL pieces shared by the statements. DuckDB's regular expressions lack look-behind and back-references.
@@ -220,7 +220,7 @@ def surface_features(spark, d):
 @query(name="quality_filter")
 def quality_filter(spark, d):
     """Collapse spaced letters, then keep or drop with the first reason; the drop log's columns."""
-    r = docs(spark, d, "raw_id", "doc_id", "lang", "source", "text").withColumn("text", X.despaced("text"))
+    r = stash(docs(spark, d, "raw_id", "doc_id", "lang", "source", "text").withColumn("text", X.despaced("text")), "despaced")
     reason = X.filter_reason("text", "source", X.canonical_language("lang"))
     return r.select("raw_id", "doc_id", "lang", "source", reason.alias("reason"), F.substring(X.squeeze("text"), 1, 100).alias("snippet"))
 
