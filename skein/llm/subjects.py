@@ -150,7 +150,7 @@ def seeded(docs: DataFrame, labels: DataFrame, subjects: list[str], least: int =
     z2 = 1.64**2
     low = (part + z2 / (2 * all_) - 1.64 * np.sqrt(np.maximum(part * (1 - part), 0) / all_ + z2 / (4 * all_**2))) / (1 + z2 / all_)
     usual_share = n[:-1].sum(1, keepdims=True) / max(n[-1].sum(), 1e-9)
-    anchored = low > np.maximum(1.5 * usual_share, 0.2)
+    anchored = low > np.maximum(1.2 * usual_share, 0.2)
     seed = np.where(anchored, n[:-1], 0.0)
     rest = np.maximum(n[-1] - seed.sum(0), 0.02 * n[-1] + PRIOR / 10)
     seed = np.concatenate([seed, rest[None]])
