@@ -121,10 +121,10 @@ def fit_calibrator(examples: DataFrame, features: list[str], label: str = "label
     n, pos = examples.count(), examples.where(F.col(label) == 1).count()
     if not 0 < pos < n:
         raise ValueError("both classes are needed")
-    weighted = examples.withColumn("w", F.when(F.col(label) == 1, F.lit(n / (2.0 * pos))).otherwise(F.lit(n / (2.0 * (n - pos)))))
-    v = VectorAssembler(inputCols=features, outputCol="raw").transform(weighted)
-    scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True).fit(v)
-    model = LogisticRegression(featuresCol="x", labelCol=label, weightCol="w", regParam=1.0 / n, standardization=False, maxIter=200, tol=1e-9).fit(scaler.transform(v))
+    weighted = examples.withColumn("__w", F.when(F.col(label) == 1, F.lit(n / (2.0 * pos))).otherwise(F.lit(n / (2.0 * (n - pos)))))
+    v = VectorAssembler(inputCols=features, outputCol="__raw").transform(weighted)
+    scaler = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True).fit(v)
+    model = LogisticRegression(featuresCol="__x", labelCol=label, weightCol="__w", regParam=1.0 / n, standardization=False, maxIter=200, tol=1e-9).fit(scaler.transform(v))
     scale = [s if s > 0 else 1.0 for s in scaler.std.toArray()]
     weights = [float(c) / s for c, s in zip(model.coefficients.toArray(), scale)]
     bias = float(model.intercept) - sum(w * m for w, m in zip(weights, scaler.mean.toArray()))
