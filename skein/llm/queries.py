@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import containers, copies, families, language, mixing, near, overlap, pieces, quotas, sizes, subjects
+from . import containers, copies, families, labels, language, mixing, near, overlap, pieces, quotas, sizes, subjects
 
 
 def _processed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -143,5 +143,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
 
+_SPACE = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_DENSE = r"\x{3040}-\x{30ff}\x{3400}-\x{9fff}"
+_UNITS = f"len(regexp_extract_all(coalesce(text, ''), '[{_DENSE}]|[^{_SPACE}{_DENSE}]+'))"
+_FORM = r"regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]', '', 'g')"
+_PARTS = rf"list_filter(regexp_split_to_array(text, '[\n\r\x{{b}}\x{{c}}\x{{85}}\x{{2028}}\x{{2029}}|]'), lambda p: regexp_matches(p, '[^{_SPACE}]'))"
+_NORMAL = f"""
+p AS (SELECT doc_id, text, {_PARTS} AS parts FROM processed_documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, CASE WHEN len(parts) > 1 AND len(list_filter(parts, lambda x: NOT regexp_matches(x, '^[{_SPACE}]*\\p{{L}}{{2,20}}:'))) = 0
+  THEN 'fields:' || array_to_string(list_sort(list_distinct(list_filter(list_transform(parts, lambda x: {_FORM.format('x')}), lambda x: x <> ''))), '|') ELSE {_FORM.format('text')} END AS form FROM p)"""
+_LABEL = "CASE " + " ".join("WHEN b IN (" + ", ".join(f"'{x}'" for x in names) + f") THEN '{names[0]}'" for names in labels.LANGUAGES) + " END"
+_CELLS = f"""
+r AS (SELECT regexp_extract(lower(trim(lang)), '^([a-z]+)(?:[-_].*)?$', 1) AS b, nullif(replace(trim(split_part(lower(trim(genre)), '/', 1)), ' ', '_'), '') AS genre, nullif(replace(lower(trim(length_bucket)), '-', '_'), '') AS length_bucket FROM processed_documents),
+c AS (SELECT {_LABEL} AS lang, genre, length_bucket, count(*) AS n FROM r GROUP BY ALL), n AS (SELECT count(*) // 10 AS n FROM processed_documents)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can say about the operators' results on whole tables in reasonable time; the rest is tested against
+    brute force on small rows."""
+    return {
+        "p3_found": f"SELECT doc_id FROM processed_documents WHERE {_UNITS} > 500",
+        "p4_found": f"WITH {_NORMAL}, m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS first_doc_id FROM f WHERE form <> '') SELECT first_doc_id, doc_id FROM m WHERE doc_id <> first_doc_id",
+        "p4_collapsed": f"WITH {_NORMAL} SELECT min(doc_id) AS first_doc_id, count(*) AS n_copies FROM f WHERE form <> '' GROUP BY form",
+        "p5_found": f"WITH {_CELLS} SELECT t.lang, t.genre, t.length_bucket FROM sampling_targets t CROSS JOIN n LEFT JOIN c USING (lang, genre, length_bucket) WHERE coalesce(c.n, 0) < greatest(t.min_docs, t.share_ppm::BIGINT * n.n // 1000000)",
+        "p8_found": f"SELECT doc_id FROM documents WHERE {_UNITS} > 1024",
+        "p9_found": f"WITH u AS (SELECT lower(trim(source)) AS source, sum({_UNITS}) AS n FROM documents GROUP BY ALL), t AS (SELECT sum(n) AS n FROM u) SELECT m.source FROM mix_targets m CROSS JOIN t LEFT JOIN u ON lower(trim(m.source)) = u.source WHERE m.target_ppm::HUGEINT * t.n > m.max_repeats * coalesce(u.n, 0) * 1000000",
+    }
