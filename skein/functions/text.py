@@ -129,11 +129,20 @@ def count_of(text: Column | str, pattern: str) -> Column:
     return F.regexp_count(as_column(text), F.lit(pattern))
 
 
-def unique_token_share(text: Column | str) -> Column:
-    t = tokens(text)
+def bind(value: Column, f) -> Column:
+    """f(value) with the value worked out once, however often f uses it. Plain column reuse would repeat the whole
+    expression at every use once projections are merged."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _unique(t: Column) -> Column:
     return share(F.size(F.array_distinct(t)), F.size(t))
 
 
+def unique_token_share(text: Column | str) -> Column:
+    return bind(tokens(text), _unique)
+
+
 def is_shelf(source: Column | str) -> Column:
     """Public-domain shelves are told by ``pd`` in the source's name."""
     return F.coalesce(F.lower(as_column(source)).contains("pd"), F.lit(False))
@@ -164,14 +173,17 @@ def repeat_run(text: Column | str) -> Column:
 def dirty_reason(text: Column | str, source: Column | str, n_tokens: Column | str, unique: float = 0.2, symbols: float = 0.4, symbol_run_most: int = 5, repeat_most: int = 20) -> Column:
     """The first reason that applies, or null: zero_length, no_tokens, low_unique_ratio, high_symbol_ratio,
     long_symbol_run (shelves only), long_repeat_run. A null text has no tokens."""
-    text = F.coalesce(as_column(text), F.lit(""))
+    return bind(F.coalesce(as_column(text), F.lit("")), lambda x: bind(tokens(x), lambda t: _dirty(x, t, source, as_column(n_tokens), unique, symbols, symbol_run_most, repeat_most)))
+
+
+def _dirty(x: Column, t: Column, source: Column | str, n: Column, unique: float = 0.2, symbols: float = 0.4, symbol_run_most: int = 5, repeat_most: int = 20) -> Column:
     return (
-        F.when(as_column(n_tokens) == 0, "zero_length")
-        .when(F.size(tokens(text)) == 0, "no_tokens")
-        .when(unique_token_share(text) < unique, "low_unique_ratio")
-        .when(symbol_share(text, source) > symbols, "high_symbol_ratio")
-        .when(is_shelf(source) & text.rlike(SYMBOL + "{" + str(symbol_run_most + 1) + ",}"), "long_symbol_run")
-        .when(text.rlike(r"(" + NOT_WS + r")\1{" + str(repeat_most) + ",}"), "long_repeat_run")
+        F.when(n == 0, "zero_length")
+        .when(F.size(t) == 0, "no_tokens")
+        .when(_unique(t) < unique, "low_unique_ratio")
+        .when(symbol_share(x, source) > symbols, "high_symbol_ratio")
+        .when(is_shelf(source) & x.rlike(SYMBOL + "{" + str(symbol_run_most + 1) + ",}"), "long_symbol_run")
+        .when(x.rlike(r"(" + NOT_WS + r")\1{" + str(repeat_most) + ",}"), "long_repeat_run")
     )
 
 
@@ -179,20 +191,27 @@ def single_letter(token: Column) -> Column:
     return token.rlike(r"^\p{L}$")
 
 
-def single_letter_share(text: Column | str) -> Column:
-    t = tokens(text)
+def _single_share(t: Column) -> Column:
     return share(F.size(F.filter(t, single_letter)), F.size(t))
 
 
+def single_letter_share(text: Column | str) -> Column:
+    return bind(tokens(text), _single_share)
+
+
 def single_letter_run(text: Column | str) -> Column:
     """Longest run of tokens of one letter each."""
+    return _single_run(tokens(text))
+
+
+def _single_run(t: Column) -> Column:
     init = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(acc: Column, t: Column) -> Column:
         run = F.when(single_letter(t), acc["run"] + 1).otherwise(F.lit(0))
         return F.struct(run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    return F.aggregate(tokens(text), init, step, lambda acc: acc["best"])
+    return F.aggregate(t, init, step, lambda acc: acc["best"])
 
 
 def collapse_spaced(text: Column | str, least: int = 2) -> Column:
@@ -215,7 +234,8 @@ def collapse_spaced(text: Column | str, least: int = 2) -> Column:
 
 def despaced(text: Column | str, ratio: float = 0.25, run: int = 2) -> Column:
     """The text, collapsed where its one-letter tokens call for it."""
-    return F.when((single_letter_share(text) >= ratio) | (single_letter_run(text) >= run), collapse_spaced(text, run)).otherwise(as_column(text))
+    spaced = bind(tokens(text), lambda t: (_single_share(t) >= ratio) | (_single_run(t) >= run))
+    return F.when(spaced, collapse_spaced(text, run)).otherwise(as_column(text))
 
 
 def letter_share(text: Column | str) -> Column:
@@ -223,14 +243,18 @@ def letter_share(text: Column | str) -> Column:
     return share(count_of(text, LETTER), count_of(text, NOT_WS))
 
 
-def letter_token_share(text: Column | str) -> Column:
-    t = tokens(text)
+def _letter_tokens(t: Column) -> Column:
     return share(F.size(F.filter(t, lambda x: x.rlike(LETTER))), F.size(t))
 
 
+def letter_token_share(text: Column | str) -> Column:
+    return bind(tokens(text), _letter_tokens)
+
+
 def script_share(text: Column | str, lang: Column | str) -> Column:
     """Share of the letters that are of the language's scripts; null for a language without scripts, 0 without
     letters."""
+    text = as_column(text)
     letters = count_of(text, LETTER)
     out = F.lit(None).cast("double")
     for code, names in SCRIPTS.items():
@@ -249,23 +273,28 @@ def least_script(lang: Column | str) -> Column:
 
 def untranslatable(text: Column | str, lang: Column | str, letters: float = 0.25, letter_tokens: float = 0.5, single: float = 0.45, run: int = 10) -> Column:
     """Too few letters or words, too many single letters, or a script that isn't the language's. True for null."""
-    text = F.coalesce(as_column(text), F.lit(""))
-    script = script_share(text, lang)
+    return bind(F.coalesce(as_column(text), F.lit("")), lambda x: bind(tokens(x), lambda t: _untranslatable(x, t, lang, letters, letter_tokens, single, run)))
+
+
+def _untranslatable(x: Column, t: Column, lang: Column | str, letters: float = 0.25, letter_tokens: float = 0.5, single: float = 0.45, run: int = 10) -> Column:
+    words = lambda w: (w == 0) | (w < letter_tokens)
     return (
-        (letter_token_share(text) == 0)
-        | (letter_share(text) < letters)
-        | (letter_token_share(text) < letter_tokens)
-        | (single_letter_share(text) > single)
-        | (single_letter_run(text) >= run)
-        | F.coalesce((count_of(text, LETTER) >= 8) & (script < least_script(lang)), F.lit(False))
+        bind(_letter_tokens(t), words)
+        | (letter_share(x) < letters)
+        | (_single_share(t) > single)
+        | (_single_run(t) >= run)
+        | F.coalesce((count_of(x, LETTER) >= 8) & (script_share(x, lang) < least_script(lang)), F.lit(False))
     )
 
 
 def filter_reason(text: Column | str, source: Column | str, lang: Column | str) -> Column:
     """Quality filter: the first reason to drop, or null."""
-    n = token_count(text)
-    spaced = (single_letter_share(text) > 0.45) | (single_letter_run(text) > 10)
-    return F.coalesce(F.when(spaced, "spaced_letters"), dirty_reason(text, source, n), F.when(untranslatable(text, lang), "untranslatable"))
+
+    def reason(x: Column, t: Column) -> Column:
+        spaced = (_single_share(t) > 0.45) | (_single_run(t) > 10)
+        return F.when(spaced, "spaced_letters").otherwise(F.coalesce(_dirty(x, t, source, F.size(t)), F.when(_untranslatable(x, t, lang), "untranslatable")))
+
+    return bind(F.coalesce(as_column(text), F.lit("")), lambda x: bind(tokens(x), lambda t: reason(x, t)))
 
 
 def surface(text: Column | str) -> list[Column]:
