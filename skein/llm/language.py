@@ -26,7 +26,7 @@ from . import textkit as T
 from .labels import CODES, language_code
 
 DIM, TABLE = 512, 1 << 18
-SAMPLE, SAMPLE_CHARS, CENTROIDS, REJECT = 300, 4000, 3, 0.15
+SAMPLE, SAMPLE_CHARS, CENTROIDS, REJECT = 300, 20_000, 3, 0.15
 MIN_LETTERS, PASSAGE_WORDS, PASSAGE_CHARS = 40, 12, 24
 #: Sentence-ending marks after which a sentence may be in another language.
 _ENDS = np.array([ord(c) for c in ".!?…。！？؟।۔\n\r\x0b\x0c\x85  "], np.uint32)
@@ -163,13 +163,13 @@ def fit(texts: list[str], labels: list[str]) -> Model:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` documents of each label, by smallest hash. Bounded: languages x sample x SAMPLE_CHARS
-    characters reach the driver."""
+    """Fit on at most ``sample`` documents of each label, by smallest hash, of 80 to SAMPLE_CHARS characters, whole.
+    Bounded: languages x sample x SAMPLE_CHARS characters reach the driver."""
     code = language_code(F.col("lang"))
-    ids = docs.select(F.col("doc_id").cast("string"), code.alias("code"), F.xxhash64("doc_id").alias("u"), F.length("text").alias("n")).where("code is not null and n >= 80")
+    ids = docs.select(F.col("doc_id").cast("string"), code.alias("code"), F.xxhash64("doc_id").alias("u"), F.length("text").alias("n")).where(F.col("code").isNotNull() & F.col("n").between(80, SAMPLE_CHARS))
     rank = F.row_number().over(W.partitionBy("code").orderBy("u", "doc_id"))
     chosen = F.broadcast(ids.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "code"))
-    rows = docs.select(F.col("doc_id").cast("string"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(chosen, "doc_id").collect()
+    rows = docs.select(F.col("doc_id").cast("string"), "text").join(chosen, "doc_id").collect()
     rows.sort(key=lambda r: (r.code, r.doc_id))
     return fit([r.text for r in rows], [r.code for r in rows])
 
