@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Characters that the corpus rules treat as white space.
 WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_WS = "[^" + WS[1:]
+WS_NOT_BLANK = WS.replace(r"\x{1c}-\x{20}", r"\x{1c}-\x{1f}")
 #: Letters that may be alone in a run of spaced letters, symbols, sentence ends.
 LETTER, SYMBOL, SYMBOL_OR_WS = r"\p{L}", r"[^\p{L}\p{N}" + WS[1:], r"[^\p{L}\p{N}]"
 SENTENCE_END = "[。！？!?.]"
@@ -60,7 +61,8 @@ def strip(text: Column | str) -> Column:
 
 def squeeze(text: Column | str) -> Column:
     """One blank for each run of white space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(as_column(text), WS + "+", " "), "^ | $", "")
+    # single blanks, which are most of the white space, stay as they are
+    return F.regexp_replace(F.regexp_replace(as_column(text), f"{WS_NOT_BLANK}{WS}*| {WS}+", " "), "^ | $", "")
 
 
 def snippet(text: Column | str, most: int = 220) -> Column:
@@ -126,7 +128,9 @@ def share(count: Column, of: Column) -> Column:
 
 
 def count_of(text: Column | str, pattern: str) -> Column:
-    return F.regexp_count(as_column(text), F.lit(pattern))
+    """Number of characters of a class. Runs are taken out whole: a match for each run, not for each character."""
+    text = as_column(text)
+    return F.length(text) - F.length(F.regexp_replace(text, f"(?:{pattern})+", ""))
 
 
 def bind(value: Column, f) -> Column:
@@ -259,7 +263,7 @@ def script_share(text: Column | str, lang: Column | str) -> Column:
     out = F.lit(None).cast("double")
     for code, names in SCRIPTS.items():
         wanted = "[" + "".join(rf"\p{{Is{n}}}" for n in names) + "]"
-        n = F.length(F.regexp_replace(F.regexp_replace(as_column(text), r"[^\p{L}]", ""), f"[^{wanted[1:-1]}]", ""))
+        n = F.length(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}]+", ""), f"[^{wanted[1:-1]}]+", ""))
         out = F.when(as_column(lang) == code, share(n, letters)).otherwise(out)
     return out
 

@@ -21,37 +21,43 @@ _WORD = re.compile(r"[^\W]+")
 
 
 def exact(df: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """The first row, in ``order``, of each text key; rows without text stay. The smallest row of a key is found by an
-    aggregate with map-side combination, so a text that a third of all rows share is no hot window."""
-    keyed = df.withColumn("text_key", X.text_key(text))
-    first = keyed.where("text_key is not null").groupBy("text_key").agg(F.min(F.struct(*order)).alias("first"))
-    mine = F.struct(*order)
-    kept = keyed.withColumn("__mine", mine).join(first, "text_key").where(F.col("__mine") == F.col("first")).drop("__mine", "first", "text_key")
-    return kept.unionByName(keyed.where("text_key is null").drop("text_key"))
+    """The first row, in ``order``, of each text key; rows without text stay. The last column of ``order`` identifies a
+    row. Keys are worked out once and written without the texts; the smallest row of a key is found by an aggregate with
+    map-side combination, so a text that a third of all rows share is no hot window."""
+    keys = stash(df.select(*order, X.text_key(text).alias("text_key")), "text-keys")
+    first = keys.where("text_key is not null").groupBy("text_key").agg(F.min(F.struct(*order)).alias("first"))
+    last = order[-1]
+    kept = first.select(F.col(f"first.{last}").alias(last)).unionByName(keys.where("text_key is null").select(last))
+    return df.join(kept, last, "left_semi")
 
 
 def fingerprint(texts: list[str]) -> np.ndarray:
     """64-bit SimHash of the words and word pairs with their counts: a bit is set when its weighted vote is at least 0.
     No words: 0. Feature hashes are the first eight bytes of md5, so that other engines get the same value."""
     out = np.zeros(len(texts), np.uint64)
-    known: dict[str, np.ndarray] = {}
     weights = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
-    for i, t in enumerate(texts):
-        words = _WORD.findall((t or "").lower())
-        if not words:
+    for lo in range(0, len(texts), 500):
+        number: dict[str, int] = {}
+        ids, counts, starts, rows = [], [], [], []
+        for i, t in enumerate(texts[lo : lo + 500]):
+            words = _WORD.findall((t or "").lower())
+            if not words:
+                continue
+            features = Counter(words)
+            features.update([f"{a} {b}" for a, b in zip(words, words[1:])])
+            starts.append(len(ids))
+            rows.append(lo + i)
+            ids += [number.setdefault(f, len(number)) for f in features]
+            counts += features.values()
+        if not rows:
             continue
-        features = Counter(words)
-        features.update(f"{a} {b}" for a, b in zip(words, words[1:]))
-        rows = []
-        for f in features:
-            v = known.get(f)
-            if v is None:
-                if len(known) > 200_000:
-                    known.clear()
-                v = known[f] = np.unpackbits(np.frombuffer(hashlib.md5(f.encode("utf-8", "surrogatepass")).digest()[:8], np.uint8)).astype(np.int32) * 2 - 1
-            rows.append(v)
-        votes = np.asarray(list(features.values()), np.int32) @ np.stack(rows)
-        out[i] = weights[votes >= 0].sum(dtype=np.uint64)
+        digests = b"".join(hashlib.md5(f.encode("utf-8", "surrogatepass")).digest()[:8] for f in number)
+        bits = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64).astype(np.int8) * 2 - 1
+        ids_, counts_ = np.asarray(ids), np.asarray(counts, np.int32)
+        ends = [*starts[1:], len(ids)]
+        for row, a, b in zip(rows, starts, ends):
+            votes = counts_[a:b] @ bits[ids_[a:b]].astype(np.int32)
+            out[row] = weights[votes >= 0].sum(dtype=np.uint64)
     return out
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..registry import query
-from ..session import stash, table
+from ..session import spread, stash, table
 
 WS = X.WS
 #: SQL pieces shared by the statements. DuckDB's regular expressions lack look-behind and back-references.
@@ -32,7 +32,8 @@ GENRES = {
 
 
 def docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return table(spark, d, "processed_documents", *columns)
+    df = table(spark, d, "processed_documents", *columns)
+    return spread(df, "doc_id") if "text" in columns and "doc_id" in columns else df
 
 
 @query("SELECT doc_id, sha256(concat_ws(':', source, author)) AS author_id FROM documents")

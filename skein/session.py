@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _OWN_FOLDER: dict[str, str] = {}
-#: Columns that some deliveries of the driver's tables lack are not guessed: a missing table is an error.
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -22,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan with fewer splits than half the cores, hashed over all cores: a single small file would else keep
+    one core busy with all its texts. A scan with enough splits, as every large one has, is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else df
+
+
 def workdir(spark: SparkSession) -> str:
     """The folder that every executor can reach. The session's spark.checkpoint.dir names it; only where that is
     unset (tests on one machine) a folder of our own is made and set."""
