@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import stats as S
 from ..registry import query
-from ..session import table
+from ..session import spread, table
 from .rows import docs, squeeze_sql
 
 _PRIMARY = "split_part(lower(trim(genre)), '/', 1)"
@@ -17,6 +17,8 @@ _PRIMARY = "split_part(lower(trim(genre)), '/', 1)"
 def labelled(spark, d, *columns: str) -> DataFrame:
     """processed_documents with the label columns that the statistics use."""
     p = docs(spark, d)
+    if "text" in columns and "doc_id" in columns:
+        p = spread(p, "doc_id")
     return p.withColumn("primary_genre", X.primary(F.lower(F.trim("genre")))).withColumn("language", X.canonical_language("lang")).select(*columns)
 
 

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import lexical as L
 from ..operators import scoring as S
 from ..registry import query
-from ..session import stash, table
+from ..session import spread, stash, table
 from .metrics import auc_sql, eer_sql
 from .rows import TOKENS, WS
 
@@ -20,7 +20,7 @@ c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL)"""
 
 
 def counts(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text")
+    docs = spread(table(spark, d, "documents", "doc_id", "text"), "doc_id")
     return L.term_counts(docs.where("text is not null"), "doc_id", L.padded_grams(F.col("text")))
 
 
@@ -107,7 +107,7 @@ v AS (SELECT doc_id, term, tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) AS
 
 @query(f"WITH {_HASHED}, s AS (SELECT q.doc_id AS query_id, r.doc_id AS candidate_id, round(sum(q.weight * r.weight), 6) AS score FROM v q JOIN v r ON q.term = r.term AND q.doc_id % 50 = 0 AND q.doc_id <> r.doc_id GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM s) SELECT query_id, candidate_id, score, rank::INT AS rank FROM t WHERE rank <= 10")
 def hashed_ngram_cosine(spark, d):
-    h = stash(L.unit(stash(L.hashed_counts(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text"), "hashed"), "doc_id"), "unit")
+    h = stash(L.unit(stash(L.hashed_counts(spread(table(spark, d, "documents", "doc_id", "text"), "doc_id"), "doc_id", "text"), "hashed"), "doc_id"), "unit")
     s = L.sparse_dot(h.where("doc_id % 50 = 0"), h, "doc_id").withColumn("score", F.round("score", 6))
     return S.topk(s, 10).select("query_id", "candidate_id", "score", "rank")
 
