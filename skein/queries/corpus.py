@@ -237,7 +237,7 @@ def overview(spark, d):
 def source_profile(spark, d):
     p = labelled(spark, d, "source", "language", "author_id", "primary_genre", "length_bucket")
     is_ = lambda b: F.sum((F.col("length_bucket") == b).cast("int"))
-    return p.groupBy("source", "language").agg(S.N.alias("n_docs"), F.countDistinct("author_id").alias("n_authors"), F.countDistinct("primary_genre").alias("n_genres"), is_("short").alias("n_short"), is_("extra_long").alias("n_extra_long"))
+    return p.groupBy("source", "language").agg(S.rows().alias("n_docs"), F.countDistinct("author_id").alias("n_authors"), F.countDistinct("primary_genre").alias("n_genres"), is_("short").alias("n_short"), is_("extra_long").alias("n_extra_long"))
 
 
 @query("""
