@@ -67,7 +67,7 @@ def signatures(uniq: np.ndarray, n: int, trees: int, depth: int) -> tuple[np.nda
     return out, count
 
 
-_SIGNED = [("doc_id", pa.string()), ("written", pa.binary()), ("normal", pa.binary()), ("n", pa.int32()), ("nodes", pa.list_(pa.int64())), ("sketch", pa.binary()), ("prints", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))]
+_SIGNED = [("doc_id", pa.string()), ("written", pa.binary()), ("normal", pa.binary()), ("n", pa.int32()), ("nodes", pa.list_(pa.int64())), ("sketch", pa.binary()), ("prints", pa.list_(pa.int64()))]
 Prints = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -112,14 +112,13 @@ def _sign(depth_used: int, min_grams: int, every: bool, prints: Prints | None):
                 nodes = _lists(node.view(np.int64).ravel(), np.repeat(np.arange(len(ok)), TREES), len(ok))
                 sketches = pa.array([x.tobytes() for x in sketch], pa.binary())
                 if prints and len(ok):
-                    d, place, h = prints(cp, off)
+                    d, _, h = prints(cp, off)
                     mine = big[d]
-                    owner = renumber[d[mine]].astype(np.int64)
-                    hashes, places = _lists(h[mine].view(np.int64), owner, len(ok)), _lists(place[mine].astype(np.int32), owner, len(ok))
+                    hashes = _lists(h[mine].view(np.int64), renumber[d[mine]].astype(np.int64), len(ok))
                 else:
-                    hashes, places = (pa.nulls(max(len(ok), 1), t) for t in (pa.list_(pa.int64()), pa.list_(pa.int32())))
+                    hashes = pa.nulls(max(len(ok), 1), pa.list_(pa.int64()))
                 cols = [pa.array([ids[lo + i] for i in rows], pa.string()), pa.array([written[i] for i in rows], pa.binary()), pa.array([normal[i] for i in rows], pa.binary()), pa.array(count[rows], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*cols, *(x.take(at) for x in (nodes, sketches, hashes, places))], schema=schema)
+                yield pa.RecordBatch.from_arrays([*cols, *(x.take(at) for x in (nodes, sketches, hashes))], schema=schema)
 
     return run
 
@@ -132,8 +131,8 @@ def sign(docs: DataFrame, threshold: float = THRESHOLD, min_grams: int = MIN_GRA
     ship(docs.sparkSession)
     k = prefix_depth(threshold, TREES, target, DEPTH)
     made = docs.select(F.col("doc_id").cast("string"), "text").where("text is not null" if every else F.length("text") >= min_grams + T.GRAM - 1)
-    made = made.mapInArrow(_sign(k, min_grams, every, prints), "doc_id string, written binary, normal binary, n int, nodes array<bigint>, sketch binary, prints array<bigint>, places array<int>")
-    return stash((made if prints else made.drop("prints", "places")).withColumn("rid", F.monotonically_increasing_id()), "signed")
+    made = made.mapInArrow(_sign(k, min_grams, every, prints), "doc_id string, written binary, normal binary, n int, nodes array<bigint>, sketch binary, prints array<bigint>")
+    return stash((made if prints else made.drop("prints")).withColumn("rid", F.monotonically_increasing_id()), "signed")
 
 
 def classes(signed: DataFrame) -> DataFrame:

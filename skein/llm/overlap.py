@@ -1,9 +1,11 @@
 """Problem 6: same or near-same records across splits, by winnowing fingerprints.
 
 Every text's normal form gives the smallest rolling hash of each window; two texts that share GRAM + WINDOW - 1
-characters on end share a fingerprint. Fingerprints are joined between train and the evaluation splits; the shared ones of a
-pair are chained into collinear runs, the runs extended by comparing characters in both directions, and the characters
-covered are reported on both sides. Pairs are then verified by their exact similarity.
+characters on end share a fingerprint. Small edits all over a text leave no run of that length (at similarity 0.7 one
+letter in 29 may be changed), so the nodes of problem 1's forest are candidates too, at a depth that finds a pair at the
+threshold with a probability over RECALL whatever its runs. Both are joined between train and the evaluation splits, and
+pairs are verified by their exact similarity. The substrings that a pair shares are chained into collinear runs, the runs
+extended by comparing characters in both directions, and the characters covered are reported on both sides.
 
 Copies share one class, so a text that a third of all records repeat is fingerprinted once.
 """
@@ -24,6 +26,8 @@ from . import textkit as T
 #: Characters of a fingerprint and fingerprints of a window. Scripts that say more in a character have shorter ones.
 GRAM, WINDOW = 48, 32
 DENSE_GRAM, DENSE_WINDOW = 20, 12
+#: Chance that the forest finds a pair at the threshold; characters of a seed of the chain, under the runs that edits leave.
+RECALL, SEED = 0.999, 16
 TRAIN = "train"
 
 
@@ -77,6 +81,27 @@ def fingerprints(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc[order], place[order], h[order]
 
 
+def shared(x: np.ndarray, y: np.ndarray, gram: int = SEED) -> list[tuple[int, int]]:
+    """Places (in x, in y) of equal substrings of ``gram`` characters, the i-th occurrence in x with the i-th in y; of a
+    run of neighbours each ``gram``-th."""
+    keys = []
+    for cp in (x, y):
+        _, h = T.grams(cp, np.array([0, len(cp)]), gram)
+        order = np.argsort(h, kind="stable")
+        new = np.concatenate(([True], h[order][1:] != h[order][:-1])) if len(h) else np.zeros(0, bool)
+        nth = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        key = np.empty(len(h), np.uint64)
+        key[order] = h[order] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys.append(key)
+    _, p, q = np.intersect1d(*keys, return_indices=True)
+    order = np.argsort(p)
+    p, q = p[order], q[order]
+    at = np.arange(len(p))
+    begins = np.concatenate(([True], (np.diff(p) != 1) | (np.diff(q) != 1)))[: len(p)]
+    kept = (at - np.maximum.accumulate(np.where(begins, at, 0))) % gram == 0
+    return list(zip(p[kept].tolist(), q[kept].tolist()))
+
+
 def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of seeds that rise on both sides (ties: the smaller places)."""
     from bisect import bisect_left
@@ -122,7 +147,7 @@ def _align(threshold: float, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right, seeds = b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(2).to_pylist()
+            left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
             for lo, hi in T.slices(left):
                 s, na, nb = T.jaccard(left[lo:hi], right[lo:hi])
                 keep = np.flatnonzero((s >= threshold) & (na >= least) & (nb >= least))
@@ -130,7 +155,7 @@ def _align(threshold: float, least: int):
                 for k, i in enumerate(keep):
                     cp, off = T.kept([left[lo + i], right[lo + i]])
                     x, y = cp[: off[1]], cp[off[1] :]
-                    u, v = extend(x, y, chain([(p["p"], p["q"]) for p in seeds[lo + i]]))
+                    u, v = extend(x, y, chain(shared(x, y)), SEED)
                     ca[k], cb[k] = u / len(x), v / len(y)
                 at = pa.array(keep + lo)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(s[keep]), pa.array(ca), pa.array(cb)], schema=schema)
@@ -142,25 +167,22 @@ def aligned(docs: DataFrame, split: DataFrame, threshold: float = near.THRESHOLD
     """Links (a, b, similarity, cover_a, cover_b) between class representatives, a with a member in train, b with one
     in another split, and the members (rep, doc_id, normal, split)."""
     at = split.select(F.col("doc_id").cast("string"), "split").where("split is not null").distinct()
-    signed = near.sign(docs, threshold, min_grams, every=True, prints=fingerprints)
+    signed = near.sign(docs, threshold, min_grams, RECALL, every=True, prints=fingerprints)
     reps = signed.join(at, "doc_id").groupBy("written").agg(F.min("rid").alias("rep"), F.max(F.col("split") == TRAIN).alias("in_train"), F.max(F.col("split") != TRAIN).alias("in_eval"))
     reps = stash(reps, "reps")
     members = signed.select("rid", "doc_id", "written", "normal", "n").join(at, "doc_id").join(reps.select("written", "rep"), "written").drop("written")
     members = stash(members, "members")
-    sides = signed.where(F.col("n") >= min_grams).select("rid", "sketch", "prints", "places").join(reps.drop("written").withColumnRenamed("rep", "rid"), "rid")
+    sides = signed.where(F.col("n") >= min_grams).select("rid", "n", "sketch", F.concat("prints", "nodes").alias("keys")).join(reps.drop("written").withColumnRenamed("rep", "rid"), "rid")
     sides = stash(sides, "sides")
-    left = sides.where("in_train").select(F.col("rid").alias("a"), F.explode("prints").alias("print"))
-    right = sides.where("in_eval").select(F.col("rid").alias("b"), F.explode("prints").alias("print"))
-    met = left.join(right, "print").where("a <> b").select("a", "b").distinct()
+    left = sides.where("in_train").select(F.col("rid").alias("a"), F.col("n").alias("na"), F.explode("keys").alias("key"))
+    right = sides.where("in_eval").select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.explode("keys").alias("key"))
+    # the similarity is at most the ratio of the numbers of substrings
+    met = left.join(right, "key").where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))).select("a", "b").distinct()
     likely = stash(near.prune(met, sides, threshold), "likely")
-    # the shared fingerprints of the pairs that are left; bounded by the fingerprints of two texts
-    zipped = sides.select("rid", F.explode(F.arrays_zip("prints", "places")).alias("x")).select("rid", "x.prints", "x.places")
-    seeds = likely.join(zipped.toDF("a", "print", "p"), "a").join(zipped.toDF("b", "print", "q"), ["b", "print"])
-    seeds = seeds.groupBy("a", "b").agg(F.collect_list(F.struct("p", "q")).alias("seeds"))
     needed = likely.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     whole = docs.select(F.col("doc_id").cast("string"), "text").join(signed.select("rid", "doc_id").join(needed, "rid", "left_semi"), "doc_id").select("rid", "text")
     whole = stash(whole, "texts")
-    both = seeds.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b").select("a", "b", "seeds", "ta", "tb")
+    both = likely.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     links = both.mapInArrow(_align(threshold, min_grams), "a bigint, b bigint, similarity double, cover_a double, cover_b double")
     return stash(links, "overlaps"), members
 

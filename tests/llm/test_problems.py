@@ -240,6 +240,24 @@ def test_overlaps(spark, corpus):
     assert overlap.crossing(df.limit(0), sp).count() == 0
 
 
+def test_overlaps_with_small_edits_all_over(spark):
+    rnd = random.Random(8)
+    rows, split = [], {}
+    for i in range(60):
+        letters = "abcdefghijklmnopqrstuvwxyz" if i % 2 else "абвгдежзийклмнопрстуфхцчшщыэюя"
+        text = [rnd.choice(letters) for _ in range(700)]
+        other = list(text)
+        for k in range(20, 700, rnd.randint(30, 47)):
+            other[k] = rnd.choice([c for c in letters if c != text[k]])
+        rows += [(f"a{i:02}", "".join(text)), (f"b{i:02}", "".join(other))]
+        split |= {f"a{i:02}": "train", f"b{i:02}": "test"}
+    g = {d: grams(t) for d, t in rows}
+    assert all(0.7 <= len(g[f"a{i:02}"] & g[f"b{i:02}"]) / len(g[f"a{i:02}"] | g[f"b{i:02}"]) < 0.85 for i in range(60))
+    got = overlap.crossing(spark.createDataFrame(rows, DOC), spark.createDataFrame([*split.items()], "doc_id string, split string")).collect()
+    assert {(r.doc_id_a, r.doc_id_b) for r in got} == {(f"a{i:02}", f"b{i:02}") for i in range(60)}
+    assert all(r.cover > 0.9 for r in got)
+
+
 def test_chain_and_extension():
     assert overlap.chain([(0, 5), (1, 1), (2, 2), (3, 9), (4, 3)]) == [(1, 1), (2, 2), (4, 3)]
     x, y = (np.array([ord(c) for c in t]) for t in ("aaaabcdefzz", "qqbcdefz"))
