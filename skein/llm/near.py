@@ -40,7 +40,7 @@ def prefix_depth(threshold: float, trees: int, target: float, depth: int) -> int
 
 def signatures(uniq: np.ndarray, n: int, trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(n, depth, trees) minima of the distinct 44-bit hashes in ``uniq`` and the number of distinct hashes. Empty
-    bins borrow from the next full one, with the distance mixed in."""
+    bins borrow from a full one, each in an order of its own, so the trees of a text of few substrings stay different."""
     doc = (uniq >> np.uint64(44)).astype(np.int64)
     count = np.bincount(doc, minlength=n)
     low = uniq & np.uint64((1 << 44) - 1)
@@ -57,11 +57,14 @@ def signatures(uniq: np.ndarray, n: int, trees: int, depth: int) -> tuple[np.nda
         bins[cell[first]], full[cell[first]] = value[first] + np.uint64(1), True
         bins, full = bins.reshape(n, trees), full.reshape(n, trees)
         base, held = bins.copy(), full.copy()
-        for step in range(1, trees):
-            if full.all() or not held.any():
+        tree = np.arange(trees, dtype=np.uint64)
+        for step in range(1, 4 * trees + 1):
+            if full[held.any(1)].all():
                 break
-            take = ~full & np.roll(held, -step, 1)
-            bins = np.where(take, np.roll(base, -step, 1) + np.uint64(step << 45), bins)
+            # the first steps ask bins in an order of each bin's own, the last ones all of them in turn
+            ask = (T.mix(tree + np.uint64((step * trees * DEPTH + p * trees))) % np.uint64(trees)).astype(np.int64) if step <= 3 * trees else (np.arange(trees) + step) % trees
+            take = ~full & held[:, ask]
+            bins = np.where(take, base[:, ask], bins)
             full |= take
         out[:, p] = bins
     return out, count
@@ -187,9 +190,10 @@ def verify(pairs: DataFrame, signed: DataFrame, docs: DataFrame, threshold: floa
     return both.mapInArrow(_verify(threshold, min_grams), "a bigint, b bigint, similarity double")
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD, min_grams: int = MIN_GRAMS, target: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, similarity) between class representatives, a < b, and the classes they stand for."""
-    signed = sign(docs, threshold, min_grams, target)
+def links(docs: DataFrame, threshold: float = THRESHOLD, min_grams: int = MIN_GRAMS, target: float = TARGET_RECALL, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, similarity) between class representatives, a < b, and the classes they stand for; with
+    ``every``, also the classes of texts with fewer substrings."""
+    signed = sign(docs, threshold, min_grams, target, every)
     members = classes(signed)
     reps = signed.join(members.where("rep = rid").select("rid"), "rid", "left_semi")
     nodes = reps.select("rid", F.explode("nodes").alias("node"))
@@ -209,10 +213,11 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, min_grams: int = M
     return out.select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b"))
 
 
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD, min_grams: int = MIN_GRAMS) -> DataFrame:
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD, min_grams: int = 1) -> DataFrame:
     """One row for each document of a near-duplicate group: doc_id, the group's smallest doc_id, the group's size and
-    the number of verified links of its class. Documents without a near duplicate or copy have no row."""
-    linked, members = links(docs, threshold, min_grams)
+    the number of verified links of its class. Documents without a near duplicate or copy have no row. All texts with a
+    letter or digit count, those too short for a substring by their copies alone; MIN_GRAMS is a bound of near_pairs."""
+    linked, members = links(docs, threshold, min_grams, every=True)
     degree = linked.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(linked.select("a", "b")).toDF("rep", "root")
     m = members.join(roots, "rep", "left").join(degree, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

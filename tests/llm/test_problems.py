@@ -85,6 +85,22 @@ def test_near_groups_cover_the_pairs(spark, corpus):
     assert all(r.n_docs > 1 for r in got.values())
 
 
+def test_near_groups_of_short_texts(spark):
+    rnd = random.Random(6)
+    rows = [("k1", "ab"), ("k2", "A b!"), ("k3", "xy"), ("k4", "?!"), ("k5", None), ("k6", "Thank you"), ("k7", "thank  you."), ("k8", "thank me")]
+    near_by = []
+    for i in range(120):
+        text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(20, 180)))
+        other = text + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(len(text) // 6))
+        assert 0.7 <= len(grams(text)) / len(grams(other)) < 1
+        rows += [(f"a{i:03}", text), (f"b{i:03}", other)]
+        near_by.append((f"a{i:03}", f"b{i:03}"))
+    got = {r.doc_id: r.group_doc_id for r in near.near_groups(spark.createDataFrame(rows, DOC)).collect()}
+    assert (got["k1"], got["k2"], got["k6"], got["k7"]) == ("k1", "k1", "k6", "k6")
+    assert not {"k3", "k4", "k5", "k8"} & set(got)
+    assert sum(got.get(a) == got.get(b) == a for a, b in near_by) >= 0.95 * len(near_by)
+
+
 def test_prefix_depth():
     k = near.prefix_depth(0.7, 32, 0.98, 8)
     assert 1 - (1 - 0.7**k) ** 32 >= 0.98 > 1 - (1 - 0.7 ** (k + 1)) ** 32
