@@ -230,6 +230,17 @@ def is_passage(lang: int, n_words: int, n_chars: int) -> bool:
     return n_chars >= PASSAGE_CHARS if CODES[lang] in ("zh", "ja") else n_words >= PASSAGE_WORDS
 
 
+def _hides(lang: np.ndarray, sure: np.ndarray, n_words: np.ndarray, n_chars: np.ndarray) -> bool:
+    """Whether the short sentences of one other language between two sure sentences are enough for a passage."""
+    main, stretch = int(lang[sure][0]), np.cumsum(sure)
+    other = (lang >= 0) & (lang != main)
+    for k in np.unique(lang[other]):
+        mine = other & (lang == k)
+        if any(is_passage(int(k), w, c) for w, c in zip(np.bincount(stretch[mine], n_words[mine]), np.bincount(stretch[mine], n_chars[mine]))):
+            return True
+    return False
+
+
 def passages(texts: list[str], model: Model) -> tuple[list[tuple], np.ndarray]:
     """(text number, passage number, first character, language number or -1, confidence, words, characters) of every
     passage, and the number of letters of each text."""
@@ -251,8 +262,9 @@ def passages(texts: list[str], model: Model) -> tuple[list[tuple], np.ndarray]:
     bounds = np.concatenate((starts, [n]))
     for a, b in zip(bounds[:-1], bounds[1:]):
         used = lang[a:b]
-        sure = used[(used >= 0) & ~weak[a:b]]
-        if len(sure) and (sure == sure[0]).all():
+        certain = (used >= 0) & ~weak[a:b]
+        sure = used[certain]
+        if len(sure) and (sure == sure[0]).all() and not _hides(used, certain, n_words[a:b], n_chars[a:b]):
             runs = [[int(sure[0]), int(first[a]), int(n_words[a:b].sum()), int(n_chars[a:b].sum()), mass[a:b].sum(0)]]
         else:
             runs = _merge([[int(lang[i]), int(first[i]), int(n_words[i]), int(n_chars[i]), mass[i]] for i in range(a, b)])

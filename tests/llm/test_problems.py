@@ -309,6 +309,18 @@ def test_language(spark):
     assert language.mislabelled(df.limit(0)).count() == 0
 
 
+def test_short_lines_beside_a_sentence(spark):
+    rnd = random.Random(7)
+    line = lambda lang, n: (" " if lang != "zh" else "").join(rnd.sample(list(SAMPLES[lang]) if lang == "zh" else SAMPLES[lang].split(), n))
+    rows = [(f"{lang}{i}", lang, ". ".join(line(lang, 15) for _ in range(4))) for lang in SAMPLES for i in range(20)]
+    verse = "\n".join(line("zh", 10) for _ in range(9))
+    rows += [("verse", "zh", verse + "\n" + line("en", 17) + "."), ("after", "zh", line("en", 17) + ".\n" + verse), ("one", "en", line("en", 17) + ".\n" + line("zh", 10))]
+    df = spark.createDataFrame(rows, "doc_id string, lang string, text string")
+    assert {tuple(r) for r in language.mislabelled(df).collect()} == {(d, k) for d in ("verse", "after") for k in ("zh", "en")}
+    one = {r.doc_id: r for r in language.documents(df).collect()}
+    assert one["verse"].lang == "zh" and one["verse"].verdict == one["after"].verdict == "mixed" and one["one"].verdict == "right"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 40)))
 def test_packing(counts):
