@@ -9,12 +9,20 @@ from pyspark.sql import Window as W
 from ..functions.text import shuffle_key
 
 
-def author_map(df: DataFrame, author: str, key: str, least: int = 2) -> DataFrame:
-    """(author, n_docs, ids of at most 64 documents): authors with enough documents. The ids are those of smallest hash,
-    so an author with a third of all rows doesn't become one huge row."""
-    ranked = df.where(F.col(author).isNotNull()).withColumn("__r", F.row_number().over(W.partitionBy(author).orderBy(F.md5(F.col(key).cast("string")), key))).where(F.col("__r") <= 64)
-    n = df.where(F.col(author).isNotNull()).groupBy(author).agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least)
-    ids = ranked.groupBy(author).agg(F.sort_array(F.collect_list(key)).alias("ids"))
+#: About as many ids does a row of the author map hold at most.
+BLOCK = 4096
+
+
+def author_map(df: DataFrame, author: str, key: str, least: int = 2, block: int = BLOCK) -> DataFrame:
+    """(author, n_docs, ids): all documents of the authors with enough of them. An author with more than ``block`` has
+    several rows, the documents dealt to them by hash, so a third of all rows doesn't become one huge row; n_docs is the
+    author's whole number in each."""
+    rows = df.where(F.col(author).isNotNull()).select(author, key)
+    n = rows.groupBy(author).agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least)
+    # authors in one block are gathered as they are; only the large ones, fewer than rows / block, are dealt
+    large = F.broadcast(n.where(F.col("n_docs") > block).select(F.col(author), F.ceil(F.col("n_docs") / F.lit(block)).alias("__parts")))
+    dealt = rows.join(large, author, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(key), F.col("__parts")), F.lit(0)))
+    ids = dealt.groupBy(author, "__part").agg(F.sort_array(F.collect_list(key)).alias("ids")).drop("__part")
     return n.join(ids, author)
 
 

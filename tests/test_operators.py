@@ -212,3 +212,14 @@ def test_reports(spark, tmp_path):
 
 def test_escapes():
     assert chunking.repair_escapes("\\u0939\\u093f x \\ud83d\\ude00") == "हि x 😀"
+
+
+def test_author_map_holds_all_documents(spark):
+    rows = [(f"d{i:04}", "big" if i % 3 else "mid" if i % 2 else None) for i in range(900)] + [("x", "one")]
+    df = spark.createDataFrame(rows, "doc_id string, author_id string")
+    want = {a: sorted(d for d, x in rows if x == a) for a in ("big", "mid")}
+    got = training.author_map(df, "author_id", "doc_id").collect()
+    assert {r.author_id: r.ids for r in got} == want and len(got) == 2
+    blocks = training.author_map(df, "author_id", "doc_id", block=100).collect()
+    assert all(sorted(d for r in blocks if r.author_id == a for d in r.ids) == want[a] for a in want)
+    assert all(r.n_docs == len(want[r.author_id]) and len(r.ids) < 150 for r in blocks)
