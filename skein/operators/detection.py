@@ -8,15 +8,15 @@ from pyspark.sql import Window as W
 
 from ..functions import text as X
 
-LEAST_CHARS, MOST_CHARS, CONFIDENCE, SCRIPT_LETTERS, SUSPECTS = 80, 3000, 0.85, 8, 5000
+LEAST_CHARS, CONFIDENCE, SCRIPT_LETTERS, SUSPECTS = 80, 0.85, 8, 5000
 
 
 def _grams(text):
-    """Pairs of neighbouring characters of the squeezed, lower-cased text: alphabetic scripts by their pairs, the others
-    by their characters' company."""
-    t = F.concat(F.lit(" "), X.squeeze(F.lower(F.substring(text, 1, MOST_CHARS))), F.lit(" "))
-    # the one-element array binds the text once; else it would be worked out again for every position
-    each = F.transform(F.array(t), lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2))))
+    """Pairs of neighbouring characters of the whole squeezed, lower-cased text: alphabetic scripts by their pairs, the
+    others by their characters' company."""
+    t = F.concat(F.lit(" "), X.squeeze(F.lower(text)), F.lit(" "))
+    # the one-element array binds the characters once; cut up once, as places in a string are counted from its start
+    each = F.transform(F.array(F.split(t, "")), lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda x, y: F.concat(x, y)))
     return F.flatten(each)
 
 

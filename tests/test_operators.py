@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.operators import chunking, dedup, lexical, sampling, scoring, splits, training
+from skein.operators import chunking, dedup, detection, lexical, sampling, scoring, splits, training
 from skein.plans.skew import split_join
 from skein.sources import readers, writers
 
@@ -223,3 +223,15 @@ def test_author_map_holds_all_documents(spark):
     blocks = training.author_map(df, "author_id", "doc_id", block=100).collect()
     assert all(sorted(d for r in blocks if r.author_id == a for d in r.ids) == want[a] for a in want)
     assert all(r.n_docs == len(want[r.author_id]) and len(r.ids) < 150 for r in blocks)
+
+
+def test_detection_sees_whole_texts(spark):
+    en, ru = "the quiet river and the old house waited all winter. ", "тихая река и старый дом ждали всю долгую зиму. "
+    rows = [(f"{lang}{i}", lang, part * 3) for lang, part in (("en", en), ("ru", ru)) for i in range(5)] + [("long", "en", en * 60 + ru * 600), ("odd", "en", "a\U0001f600b  \u00e9"), ("empty", "en", "")]
+    df = spark.createDataFrame(rows, "doc_id string, lang string, text string")
+    got = {r.doc_id: r.g for r in df.select("doc_id", detection._grams(F.col("text")).alias("g")).collect()}
+    for d, _, t in rows:
+        t = f" {' '.join(t.lower().split())} "
+        assert got[d] == [t[i : i + 2] for i in range(len(t) - 1)]
+    model = detection.fit_detector(df.where("doc_id not in ('long', 'odd', 'empty')"), "text", "lang")
+    assert {r.doc_id: r.detected_lang for r in detection.detect(df, model, "text").collect()}["long"] == "ru"
