@@ -156,8 +156,8 @@ def topic_strata(spark, d):
 
 @query(name="topic_clusters")
 def topic_clusters(spark, d):
-    p = labelled(spark, d, "doc_id", "text", "language")
-    return A.topic_clusters(p, "doc_id", "text", ["language"], least=60)
+    p = labelled(spark, d, "doc_id", "text", "language", "primary_genre")
+    return A.topic_clusters(p, "doc_id", "text", ["language", "primary_genre"])
 
 
 # -- leaderboards on a long table derived from the split: a model a source, a bucket a genre

@@ -235,3 +235,9 @@ def test_detection_sees_whole_texts(spark):
         assert got[d] == [t[i : i + 2] for i in range(len(t) - 1)]
     model = detection.fit_detector(df.where("doc_id not in ('long', 'odd', 'empty')"), "text", "lang")
     assert {r.doc_id: r.detected_lang for r in detection.detect(df, model, "text").collect()}["long"] == "ru"
+
+
+def test_topic_clusters_in_each_language_and_genre(spark, small):
+    from skein.queries.audits import topic_clusters
+
+    assert topic_clusters(spark, small).columns == ["doc_id", "language", "primary_genre", "topic_cluster"]
