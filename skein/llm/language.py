@@ -3,7 +3,7 @@
 A text's vector is the sum of its words' vectors; a word's vector holds its character n-grams (1 to 3, with word ends),
 weighted by inverse document frequency and hashed with signs into DIM places. Each language has several centroids,
 clustered from labelled documents; a sentence belongs to the language of the centroid of greatest cosine and to none
-when even that is under REJECT. Neighbouring sentences of a language form a passage; stretches too short to be a
+when even that is under REJECT. The products are sums over words, so a task multiplies each distinct word once. Neighbouring sentences of a language form a passage; stretches too short to be a
 passage go to their longer neighbour.
 
 The centroids are fitted on at most SAMPLE labelled documents of a language, chosen by hash over all rows; labelled
@@ -26,6 +26,7 @@ from . import textkit as T
 from .labels import CODES, language_code
 
 DIM, TABLE = 512, 1 << 18
+SKETCH, WORDS = 32, 200_000
 SAMPLE, SAMPLE_CHARS, CENTROIDS, REJECT = 300, 20_000, 3, 0.15
 MIN_LETTERS, PASSAGE_WORDS, PASSAGE_CHARS = 40, 12, 24
 #: Sentence-ending marks after which a sentence may be in another language.
@@ -57,13 +58,13 @@ def _slots(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """The words of a batch: sentence of each, number of each distinct one, and the distinct ones' n-gram hashes."""
+    """The words of a batch: sentence and hash of each; its letters are ``letters[first : first + length]``."""
 
     sentence: np.ndarray
-    which: np.ndarray
-    n_distinct: int
-    gram_word: np.ndarray
-    gram_hash: np.ndarray
+    hash: np.ndarray
+    letters: np.ndarray
+    first: np.ndarray
+    length: np.ndarray
 
 
 def words(cp: np.ndarray, sentence: np.ndarray) -> Words:
@@ -78,20 +79,24 @@ def words(cp: np.ndarray, sentence: np.ndarray) -> Words:
     at = np.flatnonzero(letter)
     if not len(at):
         z = np.zeros(0, np.int64)
-        return Words(z, z, 0, z, np.zeros(0, np.uint64))
+        return Words(z, np.zeros(0, np.uint64), np.zeros(0, np.uint64), z, z)
     c = cp[at].astype(np.uint64)
     first = np.flatnonzero(start[at])
     length = np.diff(np.concatenate((first, [len(c)])))
     place = np.arange(len(c)) - np.repeat(first, length)
     h = np.add.reduceat(T.mix(c * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)), first)
-    _, one, which = np.unique(h, return_index=True, return_inverse=True)
-    # n-grams of the distinct words only, each word between two zeros
-    f, n = first[one], length[one]
+    return Words(sentence[at[first]], h, c, first, length)
+
+
+def word_grams(w: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``which``, hash) of the n-grams of the words numbered ``which``, each word between two zeros; the places
+    ascend."""
+    f, n = w.first[which], w.length[which]
     size = n + 2
     base = np.concatenate(([0], np.cumsum(size)))
     flat = np.zeros(base[-1], np.uint64)
     inner = np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)))[:-1], n)
-    flat[np.repeat(base[:-1] + 1, n) + inner] = c[np.repeat(f, n) + inner]
+    flat[np.repeat(base[:-1] + 1, n) + inner] = w.letters[np.repeat(f, n) + inner]
     owner = np.repeat(np.arange(len(n)), size)
     left = np.repeat(base[1:], size) - np.arange(len(flat))
     hashes, owners = [], []
@@ -104,25 +109,92 @@ def words(cp: np.ndarray, sentence: np.ndarray) -> Words:
             ok &= flat[: len(x)] > 0x2000  # single characters tell only non-alphabetic scripts apart
         hashes.append(T.mix(x[ok]))
         owners.append(owner[: len(x)][ok])
-    return Words(sentence[at[first]], which, len(n), np.concatenate(owners), np.concatenate(hashes))
+    h, o = np.concatenate(hashes), np.concatenate(owners)
+    order = np.argsort(o, kind="stable")
+    return o[order], h[order]
+
+
+def _places(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place among DIM and signed weight of each n-gram."""
+    return (h & np.uint64(DIM - 1)).astype(np.int64), np.where((h >> np.uint64(20)) & np.uint64(1), 1.0, -1.0) * idf[_slots(h)]
+
+
+def _sums(table: np.ndarray, rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(n, columns): for each owner, in ascending order, the sum of its rows of the table."""
+    out = np.zeros((n, table.shape[1]), np.float32)
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else owner
+    for lo in range(0, len(first), 512):
+        hi = min(lo + 512, len(first))
+        a, b = first[lo], first[hi] if hi < len(first) else len(owner)
+        out[owner[first[lo:hi]]] = np.add.reduceat(table[rows[a:b]], first[lo:hi] - a, axis=0)
+    return out
 
 
 def vectors(w: Words, n: int, idf: np.ndarray) -> np.ndarray:
     """(n, DIM) unit vectors of sentences 0..n-1."""
-    slot = (w.gram_hash & np.uint64(DIM - 1)).astype(np.int64)
-    sign = np.where((w.gram_hash >> np.uint64(20)) & np.uint64(1), 1.0, -1.0)
-    each = np.bincount(w.gram_word * DIM + slot, sign * idf[_slots(w.gram_hash)], minlength=w.n_distinct * DIM).reshape(-1, DIM).astype(np.float32)
-    out = np.zeros((n, DIM), np.float32)
-    if len(w.sentence):
-        first = np.flatnonzero(np.concatenate(([True], w.sentence[1:] != w.sentence[:-1])))
-        for lo in range(0, len(first), 512):
-            hi = min(lo + 512, len(first))
-            a, b = first[lo], first[hi] if hi < len(first) else len(w.sentence)
-            out[w.sentence[first[lo:hi]]] = np.add.reduceat(each[w.which[a:b]], first[lo:hi] - a, axis=0)
+    _, one, which = np.unique(w.hash, return_index=True, return_inverse=True)
+    owner, h = word_grams(w, one)
+    place, weight = _places(h, idf)
+    each = np.bincount(owner * DIM + place, weight, minlength=len(one) * DIM).reshape(-1, DIM).astype(np.float32)
+    out = _sums(each, which, w.sentence, n)
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return out / np.where(norm > 0, norm, 1)
 
 
+class Lexicon:
+    """Cosines of sentences with the centroids. Products are sums over words, so each distinct word is multiplied once:
+    its row holds its products with the centroids and with SKETCH random signs, whose sums give the length of the
+    sentence's vector within about an eighth. Where the cosine comes out under twice REJECT the vector itself is made,
+    so that the rejection is exact. Rows are kept from batch to batch; past WORDS of them the table starts anew."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        signs = np.where(np.random.default_rng(7).random((DIM, SKETCH)) < 0.5, 1.0, -1.0) / np.sqrt(SKETCH)
+        self.basis = np.concatenate([model.centroids.T, signs], 1).astype(np.float32)
+        self.known: dict[int, int] = {}
+        self.table = np.zeros((0, self.basis.shape[1]), np.float32)
+
+    def rows(self, w: Words) -> np.ndarray:
+        """The table row of each word."""
+        unique, one, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        keys = unique.tolist()
+        if len(self.known) > WORDS:
+            self.known = {}
+        at = np.array([self.known.get(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            owner, h = word_grams(w, one[new])
+            place, weight = _places(h, self.model.idf)
+            made = np.zeros((len(new), DIM), np.float32)
+            for lo in range(0, len(new), 2000):
+                a, b = np.searchsorted(owner, (lo, lo + 2000))
+                part = min(2000, len(new) - lo)
+                made[lo : lo + part] = np.bincount((owner[a:b] - lo) * DIM + place[a:b], weight[a:b], minlength=part * DIM).reshape(-1, DIM)
+            start = len(self.known)
+            at[new] = start + np.arange(len(new))
+            if start + len(new) > len(self.table):
+                grown = np.zeros((2 * (start + len(new)), self.table.shape[1]), np.float32)
+                grown[:start] = self.table[:start]
+                self.table = grown
+            self.table[start : start + len(new)] = made @ self.basis
+            self.known.update(zip(unique[new].tolist(), range(start, start + len(new))))
+        return at[which]
+
+    def cosines(self, w: Words, n: int) -> np.ndarray:
+        """(n, centroids) cosines of sentences 0..n-1."""
+        c = len(self.model.langs)
+        rows = self.rows(w)
+        sums = _sums(self.table, rows, w.sentence, n)
+        out = sums[:, :c] / np.maximum(np.sqrt((sums[:, c:] ** 2).sum(1, keepdims=True)), 1e-9)
+        near = out.max(1, initial=-1) < 2 * REJECT
+        mine = near[w.sentence]
+        if mine.any():
+            number = np.cumsum(near) - 1
+            part = Words(number[w.sentence[mine]], w.hash[mine], w.letters, w.first[mine], w.length[mine])
+            out[near] = vectors(part, int(near.sum()), self.model.idf) @ self.model.centroids.T
+        return np.minimum(out, 1.0)
+
+
 def fit(texts: list[str], labels: list[str]) -> Model:
     """Centroids of labelled texts. Deterministic: seeded by the order of the rows."""
     numbers = np.array([CODES.index(x) for x in labels], np.int64)
@@ -130,15 +202,18 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     doc = np.repeat(np.arange(len(texts)), np.diff(off))
     w = words(cp, doc)
     n = max(len(texts), 1)
-    order = np.argsort(w.which, kind="stable")
-    # document frequency of each n-gram slot, by way of the documents of each distinct word
-    pairs = np.unique(w.which[order] * n + w.sentence[order])
-    by_word = np.split(pairs % n, np.flatnonzero(np.diff(pairs // n)) + 1) if len(pairs) else []
-    slot = _slots(w.gram_hash)
+    # document frequency of each n-gram slot, by way of the distinct words of each document
+    _, one, which = np.unique(w.hash, return_index=True, return_inverse=True)
+    owner, h = word_grams(w, one)
+    slot, begin = _slots(h), np.searchsorted(owner, np.arange(len(one) + 1))
+    pairs = np.unique(w.sentence * len(one) + which) if len(one) else which
     df = np.zeros(TABLE)
-    keys = [by_word[g] * TABLE + s for g, s in zip(w.gram_word, slot)]
-    if keys:
-        df += np.bincount(np.unique(np.concatenate(keys)) % TABLE, minlength=TABLE)
+    for lo in np.flatnonzero(np.diff(pairs // max(len(one), 1), prepend=-1)).tolist():
+        d = pairs[lo] // len(one)
+        mine = pairs[lo : np.searchsorted(pairs, (d + 1) * len(one))] % len(one)
+        size = begin[mine + 1] - begin[mine]
+        at = np.repeat(begin[mine] - np.concatenate(([0], np.cumsum(size)))[:-1], size) + np.arange(size.sum())
+        df[np.unique(slot[at])] += 1
     idf = np.log((1 + n) / (1 + df)) + 0.1
     v = vectors(w, len(texts), idf)
     keep = np.ones(len(texts), bool)
@@ -241,14 +316,14 @@ def _hides(lang: np.ndarray, sure: np.ndarray, n_words: np.ndarray, n_chars: np.
     return False
 
 
-def passages(texts: list[str], model: Model) -> tuple[list[tuple], np.ndarray]:
+def passages(texts: list[str], lexicon: Lexicon) -> tuple[list[tuple], np.ndarray]:
     """(text number, passage number, first character, language number or -1, confidence, words, characters) of every
     passage, and the number of letters of each text."""
     cp, sentence, doc, first, n_words, n_chars, letters = _sentences(texts)
-    n = len(doc)
+    n, model = len(doc), lexicon.model
     if not n or not len(model.langs):
         return [], letters
-    cos = vectors(words(cp, sentence), n, model.idf) @ model.centroids.T
+    cos = lexicon.cosines(words(cp, sentence), n)
     score = np.full((n, len(CODES)), -1.0, np.float32)
     for k in np.unique(model.langs):
         score[:, k] = cos[:, model.langs == k].max(1)
@@ -257,17 +332,26 @@ def passages(texts: list[str], model: Model) -> tuple[list[tuple], np.ndarray]:
     lang = np.where((top >= REJECT) & (n_chars > 0), best, -1)
     weak = (lang >= 0) & (n_words < 4) & (n_chars < PASSAGE_CHARS // 2)
     mass = np.sqrt(np.maximum(n_chars, 1)).astype(np.float32)[:, None] * np.maximum(score, 0)
-    rows: list[tuple] = []
     starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     bounds = np.concatenate((starts, [n]))
-    for a, b in zip(bounds[:-1], bounds[1:]):
+    # documents whose sentences name one language are one passage, unless the rejected stretches may outweigh it
+    low, high = np.minimum.reduceat(np.where(lang < 0, len(CODES), lang), starts), np.maximum.reduceat(lang, starts)
+    plain = (low >= high) & ((high < 0) | np.logical_or.reduceat((lang >= 0) & ~weak, starts) | (np.minimum.reduceat(lang, starts) >= 0))
+    all_words, all_chars, all_mass = (np.add.reduceat(x, starts, axis=0) for x in (n_words, n_chars, mass))
+    share = np.exp(12 * all_mass / np.maximum(all_mass.max(1, keepdims=True), 1e-9))
+    share /= share.sum(1, keepdims=True)
+    rows: list[tuple] = []
+    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        if plain[i]:
+            rows.append((int(doc[a]), 0, int(first[a]), int(high[i]), float(share[i, high[i]]) if high[i] >= 0 else 0.0, int(all_words[i]), int(all_chars[i])))
+            continue
         used = lang[a:b]
         certain = (used >= 0) & ~weak[a:b]
         sure = used[certain]
         if len(sure) and (sure == sure[0]).all() and not _hides(used, certain, n_words[a:b], n_chars[a:b]):
-            runs = [[int(sure[0]), int(first[a]), int(n_words[a:b].sum()), int(n_chars[a:b].sum()), mass[a:b].sum(0)]]
+            runs = [[int(sure[0]), int(first[a]), int(all_words[i]), int(all_chars[i]), all_mass[i]]]
         else:
-            runs = _merge([[int(lang[i]), int(first[i]), int(n_words[i]), int(n_chars[i]), mass[i]] for i in range(a, b)])
+            runs = _merge([[int(lang[k]), int(first[k]), int(n_words[k]), int(n_chars[k]), mass[k]] for k in range(a, b)])
         for no, (code, at, words_, chars, sums) in enumerate(runs):
             e = np.exp(12 * sums / max(float(sums.max()), 1e-9))
             rows.append((int(doc[a]), no, at, code, float(e[code] / e.sum()) if code >= 0 else 0.0, words_, chars))
@@ -282,10 +366,11 @@ def _label(model: Model):
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(model)
         for b in batches:
             texts = b.column(3).to_pylist()
             for lo, hi in T.slices(texts):
-                rows, letters = passages(texts[lo:hi], model)
+                rows, letters = passages(texts[lo:hi], lexicon)
                 at = np.array([r[0] for r in rows], np.int64)
                 where = pa.array(at + lo)
                 ok = [r[3] >= 0 and is_passage(r[3], r[5], r[6]) for r in rows]
