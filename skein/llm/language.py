@@ -25,7 +25,7 @@ from ..session import ship
 from . import textkit as T
 from .labels import CODES, language_code
 
-DIM, TABLE = 512, 1 << 18
+DIM, TABLE = 8192, 1 << 18
 SKETCH, WORDS = 32, 200_000
 SAMPLE, SAMPLE_CHARS, CENTROIDS, REJECT = 300, 20_000, 3, 0.15
 MIN_LETTERS, PASSAGE_WORDS, PASSAGE_CHARS = 40, 12, 24
@@ -131,16 +131,31 @@ def _sums(table: np.ndarray, rows: np.ndarray, owner: np.ndarray, n: int) -> np.
 
 
 def vectors(w: Words, n: int, idf: np.ndarray) -> np.ndarray:
-    """(n, DIM) unit vectors of sentences 0..n-1."""
-    _, one, which = np.unique(w.hash, return_index=True, return_inverse=True)
-    owner, h = word_grams(w, one)
-    place, weight = _places(h, idf)
-    each = np.bincount(owner * DIM + place, weight, minlength=len(one) * DIM).reshape(-1, DIM).astype(np.float32)
-    out = _sums(each, which, w.sentence, n)
+    """(n, DIM) unit vectors of sentences 0..n-1; the sentences of the words ascend."""
+    out = np.zeros((n, DIM), np.float32)
+    for lo in range(0, n, 256):
+        hi = min(lo + 256, n)
+        a, b = np.searchsorted(w.sentence, (lo, hi))
+        _, one, which = np.unique(w.hash[a:b], return_index=True, return_inverse=True)
+        if not len(one):
+            continue
+        owner, h = word_grams(w, one + a)
+        place, weight = _places(h, idf)
+        begin = np.searchsorted(owner, np.arange(len(one) + 1))
+        pair, count = np.unique((w.sentence[a:b] - lo) * len(one) + which, return_counts=True)
+        at, word = _spread(begin, pair % len(one))
+        out[lo:hi] = np.bincount((pair // len(one))[at] * DIM + place[word], count[at] * weight[word], minlength=(hi - lo) * DIM).reshape(-1, DIM)
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return out / np.where(norm > 0, norm, 1)
 
 
+def _spread(begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges begin[k] : begin[k + 1] of the k in ``which``: the place in ``which`` and the member, for each member."""
+    size = begin[which + 1] - begin[which]
+    at = np.repeat(np.arange(len(which)), size)
+    return at, np.arange(size.sum()) + np.repeat(begin[which] - np.concatenate(([0], np.cumsum(size)))[:-1], size)
+
+
 class Lexicon:
     """Cosines of sentences with the centroids. Products are sums over words, so each distinct word is multiplied once:
     its row holds its products with the centroids and with SKETCH random signs, whose sums give the length of the
@@ -165,18 +180,19 @@ class Lexicon:
         if len(new):
             owner, h = word_grams(w, one[new])
             place, weight = _places(h, self.model.idf)
-            made = np.zeros((len(new), DIM), np.float32)
+            made = np.zeros((len(new), self.basis.shape[1]), np.float32)
             for lo in range(0, len(new), 2000):
                 a, b = np.searchsorted(owner, (lo, lo + 2000))
-                part = min(2000, len(new) - lo)
-                made[lo : lo + part] = np.bincount((owner[a:b] - lo) * DIM + place[a:b], weight[a:b], minlength=part * DIM).reshape(-1, DIM)
+                if b > a:
+                    first = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+                    made[owner[a:b][first]] = np.add.reduceat(self.basis[place[a:b]] * weight[a:b, None].astype(np.float32), first, axis=0)
             start = len(self.known)
             at[new] = start + np.arange(len(new))
             if start + len(new) > len(self.table):
                 grown = np.zeros((2 * (start + len(new)), self.table.shape[1]), np.float32)
                 grown[:start] = self.table[:start]
                 self.table = grown
-            self.table[start : start + len(new)] = made @ self.basis
+            self.table[start : start + len(new)] = made
             self.known.update(zip(unique[new].tolist(), range(start, start + len(new))))
         return at[which]
 
@@ -210,10 +226,8 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     df = np.zeros(TABLE)
     for lo in np.flatnonzero(np.diff(pairs // max(len(one), 1), prepend=-1)).tolist():
         d = pairs[lo] // len(one)
-        mine = pairs[lo : np.searchsorted(pairs, (d + 1) * len(one))] % len(one)
-        size = begin[mine + 1] - begin[mine]
-        at = np.repeat(begin[mine] - np.concatenate(([0], np.cumsum(size)))[:-1], size) + np.arange(size.sum())
-        df[np.unique(slot[at])] += 1
+        _, member = _spread(begin, pairs[lo : np.searchsorted(pairs, (d + 1) * len(one))] % len(one))
+        df[np.unique(slot[member])] += 1
     idf = np.log((1 + n) / (1 + df)) + 0.1
     v = vectors(w, len(texts), idf)
     keep = np.ones(len(texts), bool)
