@@ -1,10 +1,11 @@
 """Problem 1: near-duplicate records with small edits, by a MinHash LSH forest and exact verification.
 
-Each of TREES trees holds every text's signature as a path of up to DEPTH components; a signature component is the
-smallest hash, under one of DEPTH permutations, of the text's substrings that fall into the tree's share of the hash
-space. The tries exist as sorted prefixes: the longest prefix comes first and is shortened until the forest's recall at
-the threshold, 1 - (1 - s^k)^TREES, reaches the target. Texts that share a prefix of that depth in any tree are
-candidates; a sketch comparison removes the plainly unlike, and the rest is verified on exact distinct substrings.
+Each of TREES trees holds every text's signature as a path of DEPTH components; a component is the smallest hash, under
+one of DEPTH permutations, of the text's substrings that fall into the tree's share of the hash space. A tree is a table
+of paths sorted by prefix (see forest.py), in which records that share a prefix lie side by side. Matching starts at the
+longest prefix whose recall at the threshold reaches the target; where a prefix is crowded it is lengthened, and for
+records whose recall that would push under the target, prefixes are shortened in their other trees until it is met again.
+A sketch comparison removes the plainly unlike, and the rest is verified on exact distinct substrings.
 
 Copies (equal normal form as written) share one class and are signed, matched and verified once.
 """
@@ -18,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import HOT_PARTS, split_join
 from ..session import ship, stash
 from . import textkit as T
 from .components import components
+from .forest import DEPTH, TREES, candidates, packed
 
-TREES, DEPTH = 32, 8
 THRESHOLD, TARGET_RECALL, MIN_GRAMS = 0.7, 0.98, 200
 SKETCH = 64
 #: A sketch of 64 one-byte minima estimates the similarity with a deviation of at most 0.0625; pairs at the threshold
@@ -30,36 +32,25 @@ SKETCH = 64
 SLACK = 0.25
 
 
-def prefix_depth(threshold: float, trees: int, target: float, depth: int) -> int:
-    """The longest prefix at which the forest still finds the target share of pairs at the threshold."""
-    for k in range(depth, 0, -1):
-        if 1 - (1 - threshold**k) ** trees >= target:
-            return k
-    return 1
-
-
 def signatures(uniq: np.ndarray, n: int, trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(n, depth, trees) minima of the distinct 44-bit hashes in ``uniq`` and the number of distinct hashes. Empty
     bins borrow from a full one, each in an order of its own, so the trees of a text of few substrings stay different."""
     doc = (uniq >> np.uint64(44)).astype(np.int64)
     count = np.bincount(doc, minlength=n)
     low = uniq & np.uint64((1 << 44) - 1)
+    none = np.uint64(np.iinfo(np.uint64).max)
     out = np.empty((n, depth, trees), np.uint64)
     for p in range(depth):
         h = T.mix(low + np.uint64(0x9E3779B97F4A7C15 * (p + 1) % 2**64)) >> np.uint64(20)
-        key = (doc.astype(np.uint64) << np.uint64(44)) | h
-        key.sort()
-        value = key & np.uint64((1 << 44) - 1)
-        cell = (key >> np.uint64(44)).astype(np.int64) * trees + ((value >> np.uint64(12)) * np.uint64(trees) >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
-        bins = np.zeros(n * trees, np.uint64)
-        full = np.zeros(n * trees, bool)
-        bins[cell[first]], full[cell[first]] = value[first] + np.uint64(1), True
-        bins, full = bins.reshape(n, trees), full.reshape(n, trees)
+        bins = np.full(n * trees, none, np.uint64)
+        np.minimum.at(bins, doc * trees + ((h >> np.uint64(12)) * np.uint64(trees) >> np.uint64(32)).astype(np.int64), h)
+        bins = bins.reshape(n, trees)
+        full = bins != none
         base, held = bins.copy(), full.copy()
+        some = held.any(1)
         tree = np.arange(trees, dtype=np.uint64)
         for step in range(1, 4 * trees + 1):
-            if full[held.any(1)].all():
+            if full[some].all():
                 break
             # the first steps ask bins in an order of each bin's own, the last ones all of them in turn
             ask = (T.mix(tree + np.uint64((step * trees * DEPTH + p * trees))) % np.uint64(trees)).astype(np.int64) if step <= 3 * trees else (np.arange(trees) + step) % trees
@@ -70,7 +61,7 @@ def signatures(uniq: np.ndarray, n: int, trees: int, depth: int) -> tuple[np.nda
     return out, count
 
 
-_SIGNED = [("doc_id", pa.string()), ("written", pa.binary()), ("normal", pa.binary()), ("n", pa.int32()), ("nodes", pa.list_(pa.int64())), ("sketch", pa.binary()), ("prints", pa.list_(pa.int64()))]
+_SIGNED = [("doc_id", pa.string()), ("written", pa.binary()), ("normal", pa.binary()), ("n", pa.int32()), ("heads", pa.list_(pa.int64())), ("tails", pa.list_(pa.int32())), ("sketch", pa.binary())]
 Prints = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -79,7 +70,7 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32), pa.array(values))
 
 
-def _sign(depth_used: int, min_grams: int, every: bool, prints: Prints | None):
+def _sign(min_grams: int, every: bool, prints: Prints | None):
     schema = pa.schema(_SIGNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,10 +83,7 @@ def _sign(depth_used: int, min_grams: int, every: bool, prints: Prints | None):
                 doc = (uniq >> np.uint64(44)).astype(np.int64)
                 count = np.bincount(doc, minlength=len(part))
                 big = count >= min_grams
-                if every:
-                    rows = np.flatnonzero(np.diff(off) > 0)
-                else:
-                    rows = np.flatnonzero(big)
+                rows = np.flatnonzero(np.diff(off) > 0) if every else np.flatnonzero(big)
                 if not len(rows):
                     continue
                 ok = np.flatnonzero(big)
@@ -103,45 +91,55 @@ def _sign(depth_used: int, min_grams: int, every: bool, prints: Prints | None):
                 renumber[ok] = np.arange(len(ok), dtype=np.uint64)
                 u = uniq[big[doc]]
                 u = (renumber[(u >> np.uint64(44)).astype(np.int64)] << np.uint64(44)) | (u & np.uint64((1 << 44) - 1))
-                sig, _ = signatures(u, len(ok), TREES, depth_used)
-                node = np.broadcast_to(np.arange(TREES, dtype=np.uint64), (len(ok), TREES)).copy()
-                for p in range(depth_used):
-                    node = T.mix(node * np.uint64(0x100000001B3) + sig[:, p])
+                sig, _ = signatures(u, len(ok), TREES, DEPTH)
                 sketch = (T.mix(sig[:, :2].reshape(len(ok), -1)[:, :SKETCH]) & np.uint64(255)).astype(np.uint8)
+                head, tail = packed(sig)
+                owner = np.repeat(np.arange(len(ok)), TREES)
+                head, tail = head.ravel(), tail.ravel()
+                if prints and len(ok):
+                    d, _, h = prints(cp, off)
+                    mine = big[d]
+                    owner = np.concatenate((owner, renumber[d[mine]].astype(np.int64)))
+                    order = np.argsort(owner, kind="stable")
+                    owner, head = owner[order], np.concatenate((head, h[mine].view(np.int64) | np.int64(-(2**63))))[order]
+                    tail = np.concatenate((tail, np.zeros(int(mine.sum()), np.int32)))[order]
                 spot = np.full(len(part), -1)
                 spot[ok] = np.arange(len(ok))
                 at = pa.array(spot[rows], mask=spot[rows] < 0)
                 written, normal, _ = T.keys(part)
-                nodes = _lists(node.view(np.int64).ravel(), np.repeat(np.arange(len(ok)), TREES), len(ok))
-                sketches = pa.array([x.tobytes() for x in sketch], pa.binary())
-                if prints and len(ok):
-                    d, _, h = prints(cp, off)
-                    mine = big[d]
-                    hashes = _lists(h[mine].view(np.int64), renumber[d[mine]].astype(np.int64), len(ok))
-                else:
-                    hashes = pa.nulls(max(len(ok), 1), pa.list_(pa.int64()))
+                lists = [_lists(x, owner, len(ok)) if len(ok) else pa.nulls(1, t) for x, t in ((head, pa.list_(pa.int64())), (tail, pa.list_(pa.int32())))]
+                sketches = pa.array([x.tobytes() for x in sketch] or [None], pa.binary())
                 cols = [pa.array([ids[lo + i] for i in rows], pa.string()), pa.array([written[i] for i in rows], pa.binary()), pa.array([normal[i] for i in rows], pa.binary()), pa.array(count[rows], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*cols, *(x.take(at) for x in (nodes, sketches, hashes))], schema=schema)
+                yield pa.RecordBatch.from_arrays([*cols, *(x.take(at) for x in (*lists, sketches))], schema=schema)
 
     return run
 
 
-def sign(docs: DataFrame, threshold: float = THRESHOLD, min_grams: int = MIN_GRAMS, target: float = TARGET_RECALL, every: bool = False, prints: Prints | None = None) -> DataFrame:
+def sign(docs: DataFrame, min_grams: int = MIN_GRAMS, every: bool = False, prints: Prints | None = None) -> DataFrame:
     """Signature table of ``docs`` (doc_id string, text): one row for each text with at least ``min_grams`` distinct
     substrings, with a bigint ``rid`` that is unique in the table; with ``every``, also a row of keys without signature
     for each shorter text. Null and empty texts and those without letter or digit have no row. ``prints`` adds the
-    fingerprints that it selects from the same pass over the text."""
+    fingerprints that it selects from the same pass over the text, as negative heads."""
     ship(docs.sparkSession)
-    k = prefix_depth(threshold, TREES, target, DEPTH)
     made = docs.select(F.col("doc_id").cast("string"), "text").where("text is not null" if every else F.length("text") >= min_grams + T.GRAM - 1)
-    made = made.mapInArrow(_sign(k, min_grams, every, prints), "doc_id string, written binary, normal binary, n int, nodes array<bigint>, sketch binary, prints array<bigint>")
-    return stash((made if prints else made.drop("prints")).withColumn("rid", F.monotonically_increasing_id()), "signed")
+    made = made.mapInArrow(_sign(min_grams, every, prints), "doc_id string, written binary, normal binary, n int, heads array<bigint>, tails array<int>, sketch binary")
+    return stash(made.withColumn("rid", F.monotonically_increasing_id()), "signed")
 
 
 def classes(signed: DataFrame) -> DataFrame:
-    """(rep, rid, doc_id, normal): every signed row with the representative of its copies."""
-    reps = signed.groupBy("written").agg(F.min("rid").alias("rep"))
-    return stash(signed.select("rid", "doc_id", "written", "normal").join(reps, "written").select("rep", "rid", "doc_id", "normal"), "classes")
+    """(rep, rid, doc_id, normal): every signed row with the representative of its copies. A text that a third of all
+    rows share meets its representative by a broadcast."""
+    reps = signed.groupBy("written").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
+    reps = stash(reps, "reps")
+    hot = reps.where(F.col("n_copies") > max(signed.count() // HOT_PARTS, 10_000)).select("written")
+    return stash(split_join(signed.select("rid", "doc_id", "written", "normal"), reps.select("written", "rep"), "written", hot).select("rep", "rid", "doc_id", "normal"), "classes")
+
+
+def paths(reps: DataFrame, side: str | F.Column = "0") -> DataFrame:
+    """(rid, head, tail, tag): a row for each tree and fingerprint of each text; ``side`` are the bits of forest.py."""
+    tag = F.col("n").bitwiseOR(F.expr(side) if isinstance(side, str) else side).cast("int")
+    zipped = reps.select("rid", tag.alias("tag"), F.explode(F.arrays_zip("heads", "tails")).alias("p"))
+    return zipped.select("rid", F.col("p.heads").alias("head"), F.col("p.tails").alias("tail"), "tag")
 
 
 def _alike(least: float):
@@ -193,12 +191,11 @@ def verify(pairs: DataFrame, signed: DataFrame, docs: DataFrame, threshold: floa
 def links(docs: DataFrame, threshold: float = THRESHOLD, min_grams: int = MIN_GRAMS, target: float = TARGET_RECALL, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b, similarity) between class representatives, a < b, and the classes they stand for; with
     ``every``, also the classes of texts with fewer substrings."""
-    signed = sign(docs, threshold, min_grams, target, every)
+    signed = sign(docs, min_grams, every)
     members = classes(signed)
-    reps = signed.join(members.where("rep = rid").select("rid"), "rid", "left_semi")
-    nodes = reps.select("rid", F.explode("nodes").alias("node"))
-    found = nodes.toDF("a", "node").join(nodes.toDF("b", "node"), "node").where("a < b").select("a", "b").distinct()
-    found = stash(prune(found, reps, threshold), "candidates")
+    reps = signed.where(F.col("n") >= min_grams).select("rid", "n", "heads", "tails").join(members.where("rep = rid").select("rid"), "rid", "left_semi")
+    found = candidates(paths(reps), threshold, target)
+    found = stash(prune(found, signed, threshold), "candidates")
     return stash(verify(found, signed, docs, threshold, min_grams), "links"), members
 
 

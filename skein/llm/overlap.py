@@ -2,10 +2,10 @@
 
 Every text's normal form gives the smallest rolling hash of each window; two texts that share GRAM + WINDOW - 1
 characters on end share a fingerprint. Small edits all over a text leave no run of that length (at similarity 0.7 one
-letter in 29 may be changed), so the nodes of problem 1's forest are candidates too, at a depth that finds a pair at the
-threshold with a probability over RECALL whatever its runs. Both are joined between train and the evaluation splits, and
-pairs are verified by their exact similarity. The substrings that a pair shares are chained into collinear runs, the runs
-extended by comparing characters in both directions, and the characters covered are reported on both sides.
+letter in 29 may be changed), so the paths of problem 1's forest are matched in the same pass: they find a pair at the
+threshold with a probability of RECALL whatever its runs. Pairs of a train and an evaluation text are verified by their
+exact similarity. The substrings that a pair shares are chained into collinear runs, the runs extended by comparing
+characters in both directions, and the characters covered are reported on both sides.
 
 Copies share one class, so a text that a third of all records repeat is fingerprinted once.
 """
@@ -19,15 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import HOT_PARTS, split_join
 from ..session import stash
 from . import near
 from . import textkit as T
+from .families import plain_id
+from .forest import LEFT, RIGHT, candidates
 
 #: Characters of a fingerprint and fingerprints of a window. Scripts that say more in a character have shorter ones.
-GRAM, WINDOW = 48, 32
-DENSE_GRAM, DENSE_WINDOW = 20, 12
+GRAM, WINDOW = 48, 64
+DENSE_GRAM, DENSE_WINDOW = 20, 24
 #: Chance that the forest finds a pair at the threshold; characters of a seed of the chain, under the runs that edits leave.
-RECALL, SEED = 0.999, 16
+RECALL, SEED = 0.98, 16
 TRAIN = "train"
 
 
@@ -41,8 +44,9 @@ def winnow(cp: np.ndarray, off: np.ndarray, gram: int = GRAM, window: int = WIND
     first = np.searchsorted(doc, np.arange(n))
     count = np.bincount(doc, minlength=n)
     place = np.arange(len(h)) - first[doc]
-    # the upper 40 bits of the hash decide, ties go to the right
-    key = (h & ~np.uint64((1 << 24) - 1)) | (np.uint64((1 << 24) - 1) - (np.arange(len(h)).astype(np.uint64) & np.uint64((1 << 24) - 1)))
+    # the upper 40 bits of the hash decide, ties go to the right; the lower 24 bits tell the place
+    low24 = np.uint64((1 << 24) - 1)
+    key = (h & ~low24) | (low24 - (np.arange(len(h)).astype(np.uint64) & low24))
     low, w = key, 1
     while w * 2 <= window:  # sliding minimum by doubling; places near a document's end are handled below
         shifted = np.concatenate((low[w:], np.full(w, np.iinfo(np.uint64).max, np.uint64)))
@@ -51,12 +55,14 @@ def winnow(cp: np.ndarray, off: np.ndarray, gram: int = GRAM, window: int = WIND
     if w < window:
         rest = window - w
         low = np.minimum(low, np.concatenate((low[rest:], np.full(rest, np.iinfo(np.uint64).max, np.uint64))))
-    full = place + window <= count[doc]
-    chosen = np.unique(low[full])
+    chosen = np.zeros(len(h), bool)
+    full = np.flatnonzero(place + window <= count[doc])
+    chosen[full + (((low24 - (low[full] & low24)).astype(np.int64) - full) & ((1 << 24) - 1))] = True
     present = np.flatnonzero(count > 0)
-    least = np.minimum.reduceat(key, first[present])
-    chosen = np.union1d(chosen, least[count[present] < window])
-    at = np.flatnonzero(np.isin(key, chosen))
+    least, few = np.minimum.reduceat(key, first[present]), count[present] < window
+    begin = first[present][few]
+    chosen[begin + (((low24 - (least[few] & low24)).astype(np.int64) - begin) & ((1 << 24) - 1))] = True
+    at = np.flatnonzero(chosen)
     return doc[at], place[at], h[at]
 
 
@@ -167,18 +173,16 @@ def aligned(docs: DataFrame, split: DataFrame, threshold: float = near.THRESHOLD
     """Links (a, b, similarity, cover_a, cover_b) between class representatives, a with a member in train, b with one
     in another split, and the members (rep, doc_id, normal, split)."""
     at = split.select(F.col("doc_id").cast("string"), "split").where("split is not null").distinct()
-    signed = near.sign(docs, threshold, min_grams, RECALL, every=True, prints=fingerprints)
-    reps = signed.join(at, "doc_id").groupBy("written").agg(F.min("rid").alias("rep"), F.max(F.col("split") == TRAIN).alias("in_train"), F.max(F.col("split") != TRAIN).alias("in_eval"))
+    signed = near.sign(docs, min_grams, every=True, prints=fingerprints)
+    placed = stash(signed.select("rid", "doc_id", "written", "normal", "n").join(at, "doc_id"), "placed")
+    reps = placed.groupBy("written").agg(F.min("rid").alias("rep"), F.max(F.col("split") == TRAIN).alias("in_train"), F.max(F.col("split") != TRAIN).alias("in_eval"), F.count(F.lit(1)).alias("n_copies"))
     reps = stash(reps, "reps")
-    members = signed.select("rid", "doc_id", "written", "normal", "n").join(at, "doc_id").join(reps.select("written", "rep"), "written").drop("written")
-    members = stash(members, "members")
-    sides = signed.where(F.col("n") >= min_grams).select("rid", "n", "sketch", F.concat("prints", "nodes").alias("keys")).join(reps.drop("written").withColumnRenamed("rep", "rid"), "rid")
-    sides = stash(sides, "sides")
-    left = sides.where("in_train").select(F.col("rid").alias("a"), F.col("n").alias("na"), F.explode("keys").alias("key"))
-    right = sides.where("in_eval").select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.explode("keys").alias("key"))
-    # the similarity is at most the ratio of the numbers of substrings
-    met = left.join(right, "key").where((F.col("a") != F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))).select("a", "b").distinct()
-    likely = stash(near.prune(met, sides, threshold), "likely")
+    hot = reps.where(F.col("n_copies") > max(placed.count() // HOT_PARTS, 10_000)).select("written")
+    members = stash(split_join(placed, reps.select("written", "rep"), "written", hot).drop("written"), "members")
+    side = F.when(F.col("in_train"), F.lit(LEFT)).otherwise(0).bitwiseOR(F.when(F.col("in_eval"), F.lit(RIGHT)).otherwise(0))
+    sides = signed.where(F.col("n") >= min_grams).select("rid", "n", "heads", "tails").join(reps.select(F.col("rep").alias("rid"), side.alias("side")), "rid")
+    met = candidates(near.paths(sides, "side"), threshold, RECALL)
+    likely = stash(near.prune(met, signed, threshold), "likely")
     needed = likely.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     whole = docs.select(F.col("doc_id").cast("string"), "text").join(signed.select("rid", "doc_id").join(needed, "rid", "left_semi"), "doc_id").select("rid", "text")
     whole = stash(whole, "texts")
@@ -210,12 +214,26 @@ def crossing(docs: DataFrame, split: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, split: DataFrame) -> DataFrame:
     """(split, source, n_docs, n_same, n_same_author, mean_cover): evaluation documents that occur in train, by split
-    and source. Author ids and sources are compared without case and outer blanks; a null author equals none."""
-    plain = lambda c: F.lower(F.trim(F.col(c)))
-    info = docs.select(F.col("doc_id").cast("string"), plain("author_id").alias("author"), plain("source").alias("source"))
-    pairs = crossing(docs, split).select("train_id", "eval_id", "eval_split", "kind", "cover")
-    pairs = pairs.join(info.toDF("train_id", "author_t", "source_t"), "train_id").join(info.toDF("eval_id", "author_e", "source_e"), "eval_id")
-    one = pairs.groupBy("eval_id", "eval_split", "source_e").agg(F.max(F.col("kind") == "same").alias("same"), F.coalesce(F.max(F.col("author_t") == F.col("author_e")), F.lit(False)).alias("own"), F.max("cover").alias("cover"))
-    return one.groupBy(F.col("eval_split").alias("split"), F.col("source_e").alias("source")).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("same").cast("int")).alias("n_same"), F.sum(F.col("own").cast("int")).alias("n_same_author"), F.avg("cover").alias("mean_cover")
-    )
+    and source. Author ids and sources are compared without case and outer blanks; a null author equals none. Made of
+    classes, links between classes and their distinct authors: no pairs of documents are formed."""
+    info = docs.select(F.col("doc_id").cast("string"), plain_id("author_id").alias("author"), plain_id("source").alias("source"))
+    links, members = aligned(docs, split)
+    m = stash(members.select("rep", "doc_id", "normal", "n", "split").join(info, "doc_id"), "placed-members")
+    train, other = m.where(F.col("split") == TRAIN), m.where(F.col("split") != TRAIN)
+    # equal normal forms: forms of train, and their authors
+    forms = train.select("normal").distinct().withColumn("same", F.lit(True))
+    form_authors = train.select("normal", "author").where("author is not null").distinct().withColumn("own_same", F.lit(True))
+    # near: the best cover of a class, and the authors of the train classes linked to it. Two forms of one class are near.
+    long = train.where(F.col("n") >= near.MIN_GRAMS)
+    own_class = long.groupBy("rep").agg(F.min("normal").alias("lo"), F.max("normal").alias("hi")).select(F.col("rep").alias("b"), "lo", "hi")
+    cover = links.groupBy("b").agg(F.max("cover_b").alias("cover"))
+    near_authors = links.select("a", "b").join(long.select(F.col("rep").alias("a"), "author").where("author is not null").distinct(), "a").select("b", "author").distinct().withColumn("own_near", F.lit(True))
+    class_authors = long.groupBy("rep", "author").agg(F.min("normal").alias("alo"), F.max("normal").alias("ahi")).where("author is not null").select(F.col("rep").alias("b"), "author", "alo", "ahi")
+    e = other.withColumnRenamed("rep", "b").join(forms, "normal", "left").join(form_authors, ["normal", "author"], "left").join(cover, "b", "left")
+    e = e.join(own_class, "b", "left").join(near_authors, ["b", "author"], "left").join(class_authors, ["b", "author"], "left")
+    differs = (F.col("n") >= near.MIN_GRAMS) & ((F.col("lo") != F.col("normal")) | (F.col("hi") != F.col("normal")))
+    differs_own = (F.col("n") >= near.MIN_GRAMS) & ((F.col("alo") != F.col("normal")) | (F.col("ahi") != F.col("normal")))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    best = F.greatest("cover", F.when(no(F.col("same")) | no(differs), 1.0))
+    rows = e.select("split", "source", no(F.col("same")).alias("same"), (no(F.col("own_same")) | no(F.col("own_near")) | no(differs_own)).alias("own"), best.alias("cover")).where("cover is not null")
+    return rows.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("same").cast("int")).alias("n_same"), F.sum(F.col("own").cast("int")).alias("n_same_author"), F.avg("cover").alias("mean_cover"))

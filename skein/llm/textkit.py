@@ -74,15 +74,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def grams(cp: np.ndarray, off: np.ndarray, n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, 64-bit hash) of each n-character substring that lies inside one document."""
+    """(document number, 64-bit hash) of each n-character substring that lies inside one document. The hash is a
+    polynomial; those of long substrings are put together from those of halves."""
     if len(cp) < n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    c = cp.astype(np.uint64)
-    last = len(c) - n + 1
-    h = c[:last].copy()
-    for k in range(1, n):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += c[k : last + k]
+    last = len(cp) - n + 1
+    half, length, base = cp.astype(np.uint64), 1, 0x9E3779B97F4A7C15
+    h, done = None, 0
+    while True:
+        if n & length:
+            h = half[:last].copy() if h is None else h[:last] * np.uint64(pow(base, length, 2**64)) + half[done : done + last]
+            done += length
+        if length * 2 > n:
+            break
+        half = half[: len(half) - length] * np.uint64(pow(base, length, 2**64)) + half[length:]
+        length *= 2
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[:last]
     inside = np.arange(last) + n <= off[1:][doc]
     return doc[inside], mix(h[inside])

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skein.llm import components, containers, copies, families, language, mixing, near, overlap, pieces, quotas, sizes, subjects
+from skein.llm import components, containers, copies, families, forest, language, mixing, near, overlap, pieces, quotas, sizes, subjects
 from skein.llm import textkit as T
 
 DOC = "doc_id string, text string"
@@ -101,9 +101,44 @@ def test_near_groups_of_short_texts(spark):
     assert sum(got.get(a) == got.get(b) == a for a, b in near_by) >= 0.95 * len(near_by)
 
 
-def test_prefix_depth():
-    k = near.prefix_depth(0.7, 32, 0.98, 8)
-    assert 1 - (1 - 0.7**k) ** 32 >= 0.98 > 1 - (1 - 0.7 ** (k + 1)) ** 32
+def test_first_depth():
+    k = forest.first_depth(0.7, 0.98)
+    assert k == 6 and 1 - (1 - 0.7**k) ** 32 >= 0.98 > 1 - (1 - 0.7 ** (k + 1)) ** 32
+
+
+@pytest.fixture(scope="module")
+def crowded():
+    """A third of all texts are variants of one template, so that every tree has crowded prefixes."""
+    rnd = random.Random(5)
+    base = " ".join(sentence(rnd) for _ in range(6))
+    texts = [edited(rnd, base) for _ in range(30)] + [" ".join(sentence(rnd) for _ in range(6)) for _ in range(60)]
+    return [(f"d{i:03}", t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("crowd", [2, 4, 256])
+def test_crowded_prefixes_lose_no_pair(spark, crowded, crowd):
+    want = {(a, b) for a, b in brute_pairs(crowded)}
+    signed = near.sign(spark.createDataFrame(crowded, DOC))
+    name = {r.rid: r.doc_id for r in signed.collect()}
+    met = [tuple(sorted((name[r.a], name[r.b]))) for r in forest.candidates(near.paths(signed), 0.7, 0.98, crowd).collect()]
+    assert len(met) == len(set(met)) and len(want) > 100
+    assert len(want - set(met)) <= 0.02 * len(want)
+
+
+def test_runs_across_batches(spark):
+    """A run that does not end with its batch, crowded or not, gives each pair once; fingerprints match as a whole."""
+    rows = [(i, 1 << 20, 0, 10) for i in range(7)] + [(i, -5, 0, 10) for i in range(4)] + [(i, -4, 0, 10) for i in (2, 9)]
+    df = spark.createDataFrame(rows, "rid bigint, head bigint, tail int, tag int").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for crowd in (2, 5, 100):
+            got = [tuple(r) for r in forest.candidates(df, 0.7, 0.98, crowd).collect()]
+            assert sorted(got) == sorted({(a, b) for a in range(7) for b in range(a + 1, 7)} | {(2, 9)})
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sided = spark.createDataFrame([(i, 1 << 20, 0, 10 | (forest.LEFT if i < 2 else forest.RIGHT)) for i in range(5)], df.schema)
+    for crowd in (2, 100):
+        assert {tuple(r) for r in forest.candidates(sided, 0.7, 0.98, crowd).collect()} == {(a, b) for a in (0, 1) for b in (2, 3, 4)}
 
 
 def test_copies(spark, corpus):
@@ -256,6 +291,29 @@ def test_overlaps(spark, corpus):
     assert overlap.crossing(df.limit(0), sp).count() == 0
 
 
+def test_report_agrees_with_the_pairs(spark, corpus):
+    """The report is made of classes; here it is made of all pairs."""
+    rnd = random.Random(3)
+    names = ["Anna", " anna ", "ben", None, "cleo"]
+    rows = [(i, t, rnd.choice(names), rnd.choice(["S1", "s1 ", "s2"])) for i, t in corpus]
+    split = {i: ("train" if k % 3 else "dev" if k % 2 else "test") for k, (i, _) in enumerate(corpus)}
+    df, sp = spark.createDataFrame(rows, "doc_id string, text string, author_id string, source string"), spark.createDataFrame([*split.items()], "doc_id string, split string")
+    who = {r[0]: r[2].strip().lower() if r[2] else None for r in rows}
+    where = {r[0]: r[3].strip().lower() for r in rows}
+    each = defaultdict(list)
+    for r in overlap.crossing(df, sp).collect():
+        each[r.eval_id].append(r)
+    want = defaultdict(lambda: [0, 0, 0, 0.0])
+    for e, pairs in each.items():
+        w = want[split[e], where[e]]
+        w[0] += 1
+        w[1] += any(r.kind == "same" for r in pairs)
+        w[2] += any(who[r.train_id] is not None and who[r.train_id] == who[e] for r in pairs)
+        w[3] += max(r.cover for r in pairs)
+    got = {(r.split, r.source): [r.n_docs, r.n_same, r.n_same_author, pytest.approx(r.mean_cover * r.n_docs)] for r in overlap.report(df, sp).collect()}
+    assert len(want) > 2 and {k: v for k, v in want.items()} == got
+
+
 def test_overlaps_with_small_edits_all_over(spark):
     rnd = random.Random(8)
     rows, split = [], {}
