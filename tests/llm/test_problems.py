@@ -165,6 +165,17 @@ def test_ledger_adds_batches_in_any_order(spark, corpus):
     assert {(bytes(r.key), r.n_copies, r.first_doc_id) for r in parts.read().collect()} == whole
 
 
+def test_ledger_reopens_grows_and_takes_a_batch_once(spark, tmp_path):
+    rows = [(f"d{i:03}", f"text number {i % 40}") for i in range(120)]
+    keys = copies.canonical_keys(spark.createDataFrame(rows, DOC)).persist()
+    path = str(tmp_path / "book")
+    for i in (0, 1, 1, 2):  # batch 1 comes twice
+        copies.Ledger(spark, path, bucket_keys=1).update(keys.where(f"cast(substr(doc_id, 2) as int) % 3 = {i}"), f"b{i}")
+    book = copies.Ledger(spark, path, bucket_keys=1)
+    assert sorted((r.n_copies, r.first_doc_id) for r in book.read().collect()) == sorted((3, f"d{i:03}") for i in range(40))
+    assert book.state["batches"] == ["b0", "b1", "b2"] and book.state["buckets"] > 16
+
+
 def test_components(spark):
     rnd = random.Random(4)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(500, 560)] + [(7, 7), (900, 900)] + [(1000, 1001 + i) for i in range(300)]
