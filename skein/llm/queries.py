@@ -39,6 +39,11 @@ def p2_assign(spark: SparkSession, d: str) -> DataFrame:
     return families.assign(_families(spark, d), _split(spark, d))
 
 
+def p2_batches(spark: SparkSession, d: str) -> DataFrame:
+    docs = _processed(spark, d, "doc_id", "author_id", "source", "raw_id")
+    return families.in_batches(docs, table(spark, d, "author_links", "author_id_a", "author_id_b"), _split(spark, d))
+
+
 def p2_fresh_shares(spark: SparkSession, d: str) -> DataFrame:
     return families.shares_reached(families.assign(_families(spark, d)))
 
