@@ -3,8 +3,9 @@
 Sizes are integers up to the capacity, so the packing is solved on the histogram of sizes: items over a third of the
 capacity are matched, largest first with the largest partner that still fits, two to a container at most; smaller ones,
 largest first, go into the tightest gap. The solution is a list of patterns with multiplicities, whose length depends
-on the capacity and not on the number of items. Each item then finds its container from its rank among the items of its
-size; ranks come from counts of (size, hash part), so no task ranks all items of one size.
+on the capacity and not on the number of items. A full piece is a container by itself. Each other item finds its
+container from its rank among the items of its size; a size is ranked in hash parts of about PART items, so no task
+ranks all items of one size, however many there are.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Window as W
 from ..session import ship, stash
 from .sizes import measured
 
-CAPACITY, PARTS = 1024, 64
+CAPACITY, PART = 1024, 200_000
 
 
 def pack(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -111,46 +112,52 @@ def containers(docs: DataFrame, measure: str, capacity: int = CAPACITY) -> DataF
 
     Only documents over the capacity have more than one piece; first is the piece's offset in units or tokens. Null
     and empty texts fill nothing and have no row. Equal documents are items of their own. Driver memory: the histogram
-    (capacity x PARTS counts) and the patterns.
+    (a number a size, and one for each PART items more) and the patterns.
     """
-    items = _items(measured(docs, measure), capacity).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(PARTS)).cast("int"))
-    items = stash(items, "items")
-    tally = items.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")).collect()
-    counts: dict[int, int] = {}
-    offset: dict[tuple[int, int], int] = {}
-    for r in sorted(tally, key=lambda r: (r.size, r.part)):
-        offset[r.size, r.part] = counts.get(r.size, 0)
-        counts[r.size] = counts.get(r.size, 0) + r.n
+    ship(docs.sparkSession)
+    items = stash(_items(measured(docs, measure), capacity), "items")
+    counts = {r.size: r.n for r in items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_full = counts.pop(capacity, 0)
     slots: dict[int, list[tuple[int, int]]] = {}
     used: dict[int, int] = {}
-    first = 0
+    first = n_full
     for sizes, n in pack(counts, capacity):
         for s in sizes:
             slots.setdefault(s, []).append((used.get(s, 0), first))
             used[s] = used.get(s, 0) + n
         first += n
     where = {s: (np.array([a for a, _ in v], np.int64), np.array([b for _, b in v], np.int64)) for s, v in slots.items()}
-    starts = np.zeros((capacity + 1, PARTS), np.int64)
-    for (s, p), n in offset.items():
-        starts[s, p] = n
+    n_parts = np.ones(capacity + 1, np.int64)
+    for s, n in [*counts.items(), (capacity, n_full)]:
+        n_parts[s] = max(1, -(-n // PART))
+    spark = docs.sparkSession
+    parts = F.broadcast(spark.createDataFrame([(s, int(n_parts[s])) for s in [*counts, capacity]], "size int, parts int"))  # a row a size
+    parted = items.join(parts, "size").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece_no"), F.col("parts")).cast("int"))
+    starts: dict[tuple[int, int], int] = {}
+    begun: dict[int, int] = {}
+    for r in sorted(parted.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (r.size, r.part)):
+        starts[r.size, r.part] = begun.get(r.size, 0)
+        begun[r.size] = begun.get(r.size, 0) + r.n
     schema = pa.schema([("doc_id", pa.string()), ("piece_no", pa.int32()), ("n_pieces", pa.int32()), ("first", pa.int64()), ("size", pa.int32()), ("container", pa.int64())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, part, rank = (b.column(k).to_numpy() for k in (4, 5, 6))
-            rank = rank + starts[size, part] - 1
             out = np.zeros(len(size), np.int64)
-            order = np.argsort(size, kind="stable")
-            for group in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+            order = np.lexsort((part, size))
+            for group in np.split(order, np.flatnonzero((np.diff(size[order]) != 0) | (np.diff(part[order]) != 0)) + 1):
                 if len(group):
-                    begin, box = where[int(size[group[0]])]
-                    k = np.searchsorted(begin, rank[group], "right") - 1
-                    out[group] = box[k] + rank[group] - begin[k]
+                    s, at = int(size[group[0]]), rank[group] - 1 + starts[int(size[group[0]]), int(part[group[0]])]
+                    if s == capacity:
+                        out[group] = at
+                        continue
+                    begin, box = where[s]
+                    k = np.searchsorted(begin, at, "right") - 1
+                    out[group] = box[k] + at - begin[k]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(out)], schema=schema)
 
-    ship(docs.sparkSession)
     rank = F.row_number().over(W.partitionBy("size", "part").orderBy("doc_id", "piece_no")).cast("bigint")
-    ranked = items.select(F.col("doc_id").cast("string"), F.col("piece_no").cast("int"), F.col("n_pieces").cast("int"), F.col("first").cast("bigint"), F.col("size").cast("int"), "part", rank.alias("rank"))
+    ranked = parted.select(F.col("doc_id").cast("string"), F.col("piece_no").cast("int"), F.col("n_pieces").cast("int"), F.col("first").cast("bigint"), F.col("size").cast("int"), "part", rank.alias("rank"))
     return ranked.mapInArrow(place, "doc_id string, piece_no int, n_pieces int, first bigint, size int, container bigint")
 
 
