@@ -8,7 +8,8 @@ to which its terms owe most, if one of them clearly belongs to it; a document ha
 its sentences.
 
 Terms are words; where scripts write without spaces, runs of two and three characters. The vocabulary is that of the
-labelled documents, at most LABELLED of them, so the model's size does not depend on the number of documents.
+labelled documents, at most LABELLED of them, and holds at most MOST_TERMS anchored terms, so the model's size does not
+depend on the number of documents.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from . import textkit as T
 from .language import _sentences
 
 LABELLED, LEAST_DOCS, PRIOR, ROUNDS, INNER = 50_000, 3, 5.0, 3, 12
+#: Anchored terms of the model: bounds what the driver holds and each task gets, K + 1 numbers a term.
+MOST_TERMS = 100_000
 CLEAR, SHARE = 0.5, 1 / 3
 
 
@@ -128,35 +131,42 @@ def _shares(counts: np.ndarray, other: float) -> np.ndarray:
     return counts / np.maximum(total, 1e-9)[:, None]
 
 
-def seeded(docs: DataFrame, labels: DataFrame, subjects: list[str], least: int = LEAST_DOCS, labelled: int = LABELLED) -> Model:
+def seeded(docs: DataFrame, labels: DataFrame, subjects: list[str], least: int = LEAST_DOCS, labelled: int = LABELLED, most: int = MOST_TERMS) -> Model:
     """Component weights from the labelled documents, at most ``labelled`` of them by smallest hash. A null subject
-    counts for no component; a document with several shares itself among them."""
+    counts for no component; a document with several shares itself among them. The terms are counted and anchored where
+    they are; the ``most`` anchored terms of most documents reach the driver, the others count as terms without anchor."""
     ship(docs.sparkSession)
     marks = labels.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("marks"))  # a handful a document
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     rows = docs.select("doc_id", "text").where("text is not null").join(marks, "doc_id").select("text", "marks")
     counted = rows.mapInArrow(_count(subjects), "term bigint, k int, n double").groupBy("term", "k").agg(F.sum("n").alias("n"))
-    counted = stash(counted, "term-counts")
-    usual = counted.where((F.col("k") == len(subjects)) & (F.col("n") >= least)).select("term")
-    got = counted.join(usual, "term", "left_semi").toPandas()  # bounded by the labelled documents' vocabulary
-    vocabulary = np.unique(got.term.to_numpy(np.int64).view(np.uint64))
-    n = np.zeros((len(subjects) + 1, len(vocabulary)))
-    if len(got):
-        np.add.at(n, (got.k.to_numpy(), np.searchsorted(vocabulary, got.term.to_numpy(np.int64).view(np.uint64))), got.n.to_numpy())
-    # anchors: a subject keeps the terms that clearly more of its documents have than all documents; the rest are
-    # zero, and multiplicative updates leave zeros alone
-    all_ = np.maximum(n[-1], 1e-9)
-    part = n[:-1] / all_
+    # anchors: a subject keeps the terms that clearly more of its documents have than all documents (the lower end of
+    # Wilson's interval at 1.64); the rest are zero, and multiplicative updates leave zeros alone
+    n_subjects = len(subjects)
+    counts = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0.0)) for k in range(n_subjects + 1)]
+    by_term = stash(counted.groupBy("term").agg(F.array(*counts).alias("c")).withColumn("all", F.element_at("c", -1)).where(F.col("all") >= least), "term-counts")
+    sums = by_term.agg(*(F.coalesce(F.sum(F.col("c")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(n_subjects + 1))).first()
     z2 = 1.64**2
-    low = (part + z2 / (2 * all_) - 1.64 * np.sqrt(np.maximum(part * (1 - part), 0) / all_ + z2 / (4 * all_**2))) / (1 + z2 / all_)
-    usual_share = n[:-1].sum(1, keepdims=True) / max(n[-1].sum(), 1e-9)
-    anchored = low > np.maximum(1.2 * usual_share, 0.2)
-    seed = np.where(anchored, n[:-1], 0.0)
-    rest = np.maximum(n[-1] - seed.sum(0), 0.02 * n[-1] + PRIOR / 10)
-    seed = np.concatenate([seed, rest[None]])
-    some = anchored.any(0)
-    other, seed = float(rest[~some].sum()), seed[:, some]
-    return Model(subjects, vocabulary[some], _shares(seed, other), seed, other)
+    seeds = []
+    for k in range(n_subjects):
+        n, all_ = F.col("c")[k], F.col("all")
+        part = n / all_
+        low = (part + z2 / (2 * all_) - 1.64 * F.sqrt(F.greatest(part * (1 - part), F.lit(0.0)) / all_ + z2 / (4 * all_ * all_))) / (1 + z2 / all_)
+        seeds.append(F.when(low > max(1.2 * sums[k] / max(sums[n_subjects], 1e-9), 0.2), n).otherwise(0.0))
+    by_term = by_term.select("term", "all", F.array(*seeds).alias("seed")).withColumn("anchored", F.aggregate("seed", F.lit(0.0), lambda x, y: x + y))
+    rest = F.greatest(F.col("all") - F.col("anchored"), 0.02 * F.col("all") + PRIOR / 10)
+    by_term = by_term.withColumn("rest", rest)
+    other = by_term.where("anchored = 0").agg(F.coalesce(F.sum("rest"), F.lit(0.0)).alias("n")).first().n
+    kept = by_term.where("anchored > 0").orderBy(F.desc("anchored"), "term").limit(most)  # a tie at the end: by hash
+    got = kept.select("term", "seed", "rest").toPandas()  # at most ``most`` rows
+    other += by_term.where("anchored > 0").agg(F.coalesce(F.sum("rest"), F.lit(0.0)).alias("n")).first().n - float(got.rest.sum())
+    vocabulary = got.term.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(vocabulary)
+    seed = np.zeros((n_subjects + 1, len(got)))
+    if len(got):
+        seed[:-1], seed[-1] = np.array(got.seed.tolist()).reshape(len(got), -1).T, got.rest
+    seed = seed[:, order]
+    return Model(subjects, vocabulary[order], _shares(seed, other), seed, other)
 
 
 def matrix(docs: DataFrame, model: Model) -> DataFrame:
