@@ -1,7 +1,7 @@
 """Sampling and caps. Every random choice is an order by a seeded hash, so it is the same under any partitioning.
 
-Caps rank within a key; Spark prunes such ranks before the shuffle (WindowGroupLimit), so a hot key never reaches one
-task whole when the cap is a literal.
+Caps by a literal rank within a key: Spark prunes such ranks before the shuffle (WindowGroupLimit), so a hot key never
+reaches one task whole. Ranks against a planned quota go by ranges of the random key (plans.skew.in_order).
 """
 
 from __future__ import annotations
@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import shuffle_key
+from ..plans.skew import in_order, sized
+
+#: Wanted shares of the languages and of the length buckets.
+LANGUAGE_WEIGHTS = {"en": 0.35, "zh": 0.10, "es": 0.10, "ar": 0.08, "fr": 0.08, "ru": 0.08, "de": 0.08, "ja": 0.05, "ko": 0.05, "hi": 0.03}
+LENGTH_WEIGHTS = {"short": 0.15, "medium": 0.50, "long": 0.20, "extra_long": 0.15}
 
 
 def half_even(x: float) -> int:
@@ -41,9 +46,8 @@ def author_cap(df: DataFrame, author: str, key: str, most: int, seed: int) -> Da
 def author_limits(df: DataFrame, author: str, key: str, least: int, fallback: int, most: int, seed: int) -> DataFrame:
     """``author_cap`` for authors with at least ``least`` documents; authors with ``fallback`` up to ``least`` are kept
     as second choice and marked. Column ``author_class``: full or fallback."""
-    n = F.count(F.lit(1)).over(W.partitionBy(author))
-    sized = df.where(F.col(author).isNotNull()).withColumn("author_docs", n).where(F.col("author_docs") >= fallback)
-    marked = sized.withColumn("author_class", F.when(F.col("author_docs") >= least, "full").otherwise("fallback"))
+    capped_ = sized(df, author, "author_docs").where(F.col("author_docs") >= fallback)
+    marked = capped_.withColumn("author_class", F.when(F.col("author_docs") >= least, "full").otherwise("fallback"))
     return author_cap(marked, author, key, most, seed)
 
 
@@ -59,8 +63,8 @@ def dataset_cap(df: DataFrame, group: str, key: str, default: int, overrides: di
 
 def quota_sample(df: DataFrame, cell: list[str], key: str, quotas: DataFrame, seed: int) -> DataFrame:
     """At most ``quota`` documents of each cell. ``quotas`` (cell columns, quota) is a small planned table."""
-    rank = F.row_number().over(W.partitionBy(*cell).orderBy(shuffle_key(seed, F.col(key)), key))
-    return df.join(F.broadcast(quotas), cell).withColumn("pick", rank).where(F.col("pick") <= F.col("quota"))
+    ranked = in_order(df.join(F.broadcast(quotas), cell), cell, shuffle_key(seed, F.col(key)), key, "pick")
+    return ranked.where(F.col("pick") <= F.col("quota"))
 
 
 def bucket_fill(df: DataFrame, group: str, bucket: str, key: str, target: int, weights: dict[str, float], seed: int) -> DataFrame:
@@ -70,8 +74,7 @@ def bucket_fill(df: DataFrame, group: str, bucket: str, key: str, target: int, w
     for name, n in targets_of(target, weights).items():
         quota = F.when(F.col(bucket) == name, n).otherwise(quota)
     u = shuffle_key(seed, F.col(key))
-    in_bucket = F.row_number().over(W.partitionBy(group, bucket).orderBy(u, key))
-    r = df.withColumn("__u", u).withColumn("__first", in_bucket <= quota)
+    r = in_order(df, [group, bucket], u, key, "__i").withColumn("__u", u).withColumn("__first", F.col("__i") <= quota).drop("__i")
     order = F.row_number().over(W.partitionBy(group).orderBy(F.desc("__first"), "__u", key))
     r = r.withColumn("__r", order).where(F.col("__r") <= target)
     return r.withColumn("pass", F.when(F.col("__first"), "quota").otherwise("fill")).drop("__u", "__first", "__r")
@@ -94,9 +97,8 @@ def genre_spill(df: DataFrame, group: str, genre: str, key: str, target: int, we
     for name, n in goals.items():
         quota = F.when(F.col("target_genre") == name, n).otherwise(quota)
     u = shuffle_key(seed, F.col(key))
-    r = df.withColumn("target_genre", g).withColumn("__u", u)
-    in_genre = F.row_number().over(W.partitionBy(group, "target_genre").orderBy("__u", key))
-    r = r.withColumn("__first", F.col("target_genre").isNotNull() & (in_genre <= quota))
+    r = in_order(df.withColumn("target_genre", g), [group, "target_genre"], u, key, "__i").withColumn("__u", u)
+    r = r.withColumn("__first", F.col("target_genre").isNotNull() & (F.col("__i") <= quota)).drop("__i")
     order = F.row_number().over(W.partitionBy(group).orderBy(F.desc("__first"), "__u", key))
     r = r.withColumn("__r", order).where(F.col("__r") <= target)
     return r.withColumn("pass", F.when(F.col("__first"), "quota").otherwise("spill")).drop("__u", "__first", "__r")
@@ -109,27 +111,27 @@ def deficits(df: DataFrame, cell: list[str], quotas: DataFrame) -> DataFrame:
     return out.withColumn("missing", F.col("quota") - F.col("selected")).where("missing > 0")
 
 
-def language_targets(available: dict[str, int], total: int, weights: dict[str, float]) -> dict[str, int]:
-    """Targets of each language in proportion to its weight, one document at a time for the rounding difference,
-    capped by what is there, and the rest handed on in order of weight. A dozen numbers: plain Python."""
-    total = min(total, sum(available.values()))
-    w = {k: weights[k] for k in weights if k in available and weights[k] > 0} or {k: 1.0 for k in sorted(available)}
-    whole = sum(w.values())
-    order = sorted(w, key=lambda k: -w[k])
-    out = {k: half_even(total * w[k] / whole) for k in w}
-    difference, i = total - sum(out.values()), 0
-    while difference and order:
-        step = 1 if difference > 0 else -1
-        out[order[i % len(order)]] += step
-        difference -= step
-        i += 1
-    out = {k: min(v, available[k]) for k, v in out.items()}
-    rest = total - sum(out.values())
-    for k in order:
-        more = min(available[k] - out[k], rest)
-        out[k] += max(more, 0)
-        rest -= max(more, 0)
-    return out
+def language_targets(counts: DataFrame, lang: str, n: str, total: int, weights: dict[str, float]) -> DataFrame:
+    """(lang, n, target) of the languages with a weight and documents: shares of ``total``, rounded, held to what is
+    there. ``counts`` has a row a language.
+
+    All is a formula over at most len(weights) rows: the rounding difference d goes to the first d languages in order of
+    weight; what the caps cut off fills the others' slack in that order, each taking what the slack before it leaves.
+    Without any weighted language all count alike."""
+    order = [(k, float(w), i) for i, (k, w) in enumerate(sorted(weights.items(), key=lambda x: -x[1])) if w > 0]
+    rows = counts.where(F.col(lang).isNotNull() & (F.col(n) > 0)).select(F.col(lang).alias("lang"), F.col(n).cast("bigint").alias("n"))
+    known = rows.join(F.broadcast(counts.sparkSession.createDataFrame(order, "lang string, w double, i int")), "lang", "left")
+    every = W.partitionBy()
+    known = known.withColumn("goal", F.least(F.lit(total), F.sum("n").over(every))).withColumn("some", F.max(F.col("w").isNotNull()).over(every))
+    known = known.where(~F.col("some") | F.col("w").isNotNull()).withColumn("w", F.coalesce("w", F.lit(1.0)))
+    known = known.withColumn("first", F.bround(F.col("goal") * F.col("w") / F.sum("w").over(every), 0).cast("bigint"))
+    by_weight = every.orderBy(F.desc("w"), "i", "lang")
+    known = known.withColumn("place", F.row_number().over(by_weight)).withColumn("off", F.col("goal") - F.sum("first").over(every))
+    repaired = F.col("first") + F.when(F.col("place") <= F.abs("off"), F.signum(F.col("off").cast("double"))).otherwise(0).cast("bigint")
+    known = known.withColumn("held", F.least(repaired, F.col("n"))).withColumn("slack", F.col("n") - F.col("held")).withColumn("rest", F.col("goal") - F.sum("held").over(every))
+    before = F.sum("slack").over(by_weight) - F.col("slack")
+    more = F.greatest(F.lit(0), F.least(F.col("slack"), F.col("rest") - before))
+    return known.select(F.col("lang").alias(lang), F.col("n").alias(n), (F.col("held") + more).alias("target"))
 
 
 def balanced_pick(df: DataFrame, group: str, key: str, total: int, seed: int) -> DataFrame:
@@ -139,15 +141,14 @@ def balanced_pick(df: DataFrame, group: str, key: str, total: int, seed: int) ->
     place = F.row_number().over(W.partitionBy().orderBy(F.asc_nulls_first(group))) - 1  # over one row a group
     n_groups = F.count(F.lit(1)).over(W.partitionBy())
     quota = F.floor(F.lit(total) / n_groups).cast("int") + (place < F.pmod(F.lit(total), n_groups)).cast("int")
-    quotas = sizes.select(group, quota.alias("__q"))
+    quotas = sizes.select(F.col(group).alias("__g"), quota.alias("__q"))
     u = shuffle_key(seed, F.col(key))
-    r = df.withColumn("__u", u)
-    r = r.withColumn("__n", F.row_number().over(W.partitionBy(group).orderBy("__u", key)))
-    r = r.join(F.broadcast(quotas), r[group].eqNullSafe(quotas[group])).drop(quotas[group]).withColumn("picked", F.col("__n") <= F.col("__q"))
+    r = in_order(df, [group], u, key, "__n").withColumn("__u", u)
+    r = r.join(F.broadcast(quotas), F.col(group).eqNullSafe(F.col("__g"))).withColumn("picked", F.col("__n") <= F.col("__q"))
     first = r.where("picked")
     more = r.where(~F.col("picked")).orderBy("__u", key).limit(total)  # TakeOrdered: only the smallest of each partition move
     both = first.unionByName(more).orderBy(F.desc("picked"), "__u", key).limit(total)
-    return both.drop("__u", "__n", "__q")
+    return both.drop("__u", "__n", "__q", "__g")
 
 
 def uniform_cap(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:

@@ -11,10 +11,6 @@ from ..functions import text as X
 from ..operators import audit, dedup, sampling, scoring, splits
 from ..session import stash
 
-LANGUAGES = {"en": 0.35, "zh": 0.10, "es": 0.10, "ar": 0.08, "fr": 0.08, "ru": 0.08, "de": 0.08, "ja": 0.05, "ko": 0.05, "hi": 0.03}
-LENGTHS = {"short": 0.15, "medium": 0.50, "long": 0.20, "extra_long": 0.15}
-
-
 @dataclass
 class Corpus:
     documents: DataFrame
@@ -46,11 +42,11 @@ def construct(raw: DataFrame, total: int, seed: int = 42, most_per_author: int =
     clean = stash(_cleaned(raw), "cleaned")
     capped = stash(sampling.author_limits(clean, "author_id", "doc_id", 3, 2, most_per_author, seed), "capped")
     unique = stash(_deduplicated(capped), "unique")
-    there = {r.lang: r.n for r in unique.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
-    goals = sampling.language_targets(there, total, LANGUAGES)
+    there = unique.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    goals = {r.lang: r.target for r in sampling.language_targets(there, "lang", "n", total, sampling.LANGUAGE_WEIGHTS).collect()}  # a dozen languages
     picked = None
     for lang, n in goals.items():  # a dozen languages, one plan
-        one = sampling.bucket_fill(unique.where(F.col("lang") == lang), "lang", "length_bucket", "doc_id", n, LENGTHS, seed).drop("pass")
+        one = sampling.bucket_fill(unique.where(F.col("lang") == lang), "lang", "length_bucket", "doc_id", n, sampling.LENGTH_WEIGHTS, seed).drop("pass")
         picked = one if picked is None else picked.unionByName(one)
     chosen = stash(picked if picked is not None else unique.limit(0), "picked")
     split = splits.stratified(chosen, ["lang", "genre", "length_bucket"], "doc_id", seed)

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import release, sampling, splits
+from ..operators.sampling import LANGUAGE_WEIGHTS, LENGTH_WEIGHTS
 from ..registry import query
 from ..session import table
 from .corpus import P, labelled, split_docs
 from .rows import docs
 
 SEED = 42
-LENGTH_WEIGHTS = {"short": 0.15, "medium": 0.50, "long": 0.20, "extra_long": 0.15}
 GENRE_WEIGHTS = {"news": 0.30, "social_media": 0.30, "literature": 0.20, "blog": 0.10, "speech": 0.10}
-LANGUAGE_WEIGHTS = {"en": 0.35, "zh": 0.10, "es": 0.10, "ar": 0.08, "fr": 0.08, "ru": 0.08, "de": 0.08, "ja": 0.05, "ko": 0.05, "hi": 0.03}
 _U = f"md5('{SEED}:' || doc_id)"
 _CAP = f"row_number() OVER (PARTITION BY author_id ORDER BY {_U}, doc_id)"
 
@@ -91,12 +90,20 @@ def equal_lang_targets(spark, d):
     return n.select("language", "n_docs", (F.floor(F.lit(500) / k) + (i < F.pmod(F.lit(500), k)).cast("int")).alias("target"))
 
 
-@query(name="language_targets")
+_WEIGHTS = ", ".join(f"('{k}', {w}::DOUBLE, {i})" for i, (k, w) in enumerate(sorted(LANGUAGE_WEIGHTS.items(), key=lambda x: -x[1])))
+
+
+@query(f"""
+WITH c AS (SELECT language, count(*) AS n_docs FROM {P} WHERE language IS NOT NULL GROUP BY ALL), w(language, w, i) AS (VALUES {_WEIGHTS}),
+g AS (SELECT language, n_docs, w, i, (SELECT least(sum(n_docs), (SELECT sum(n_docs) // 2 FROM c)) FROM c)::BIGINT AS goal FROM c JOIN w USING (language)),
+f AS (SELECT *, round_even(goal * w / sum(w) OVER (), 0)::BIGINT AS first, row_number() OVER (ORDER BY w DESC, i) AS place FROM g),
+h AS (SELECT *, least(first + CASE WHEN place <= abs(goal - sum(first) OVER ()) THEN sign(goal - sum(first) OVER ()) ELSE 0 END, n_docs)::BIGINT AS held FROM f),
+s AS (SELECT *, n_docs - held AS slack, goal - sum(held) OVER () AS rest, coalesce(sum(n_docs - held) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h)
+SELECT language, n_docs, (held + greatest(0, least(slack, rest - before)))::BIGINT AS target FROM s""")
 def language_targets(spark, d):
-    """Targets by weight with redistribution; planned on the counts of a dozen languages."""
-    n = {r.language: r.n for r in labelled(spark, d, "language").groupBy("language").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = [(k, n[k], v) for k, v in sampling.language_targets(n, sum(n.values()) // 2, LANGUAGE_WEIGHTS).items()]
-    return spark.createDataFrame(rows, "language string, n_docs bigint, target bigint")
+    """Targets by weight with redistribution, for half of all documents."""
+    n = labelled(spark, d, "language").where("language is not null").groupBy("language").agg(F.count(F.lit(1)).alias("n_docs"))
+    return sampling.language_targets(n, "language", "n_docs", sum(r.n_docs for r in n.collect()) // 2, LANGUAGE_WEIGHTS)  # a dozen rows
 
 
 @query(f"SELECT doc_id FROM processed_documents ORDER BY {_U}, doc_id LIMIT 100")
