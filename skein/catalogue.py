@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import audits, corpus, duplicates, flows, lexicon, metrics, rows, samples  # noqa: F401
+from .queries import audits, corpus, duplicates, flows, lexicon, metrics, rows, samples, studies  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -449,3 +449,21 @@ def md5_int(value: Column, digits: int = 15) -> Column:
 def shuffle_key(seed: int | str, key: Column) -> Column:
     """Order by this for a reproducible shuffle."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
+def flat_values(*candidates: Column) -> Column:
+    """The first of several list or text columns with something in it, lists joined by commas; blank entries don't count."""
+    out = []
+    for c in candidates:
+        out.append(F.nullif(F.array_join(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""), ", "), F.lit("")))
+    return F.coalesce(*out)
+
+
+def catalogue_entry(kind: Column, number: Column, languages: Column, authors: Column, wanted: list[str]) -> Column:
+    """Struct (id, lang, author) of a catalogue row that is a text with a numeric id, a wanted language and an author, else
+    null. Languages are cut at ``;``, the first wanted one counts; authors likewise, the first one counts."""
+    parts = lambda c: F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
+    lang = F.get(F.filter(F.transform(parts(languages), lambda x: F.lower(x)), lambda x: x.isin(wanted)), F.lit(0))
+    author = F.get(parts(authors), F.lit(0))
+    ok = (F.lower(F.trim(kind)) == "text") & F.trim(number).rlike("^[0-9]+$") & lang.isNotNull() & author.isNotNull()
+    return F.when(ok, F.struct(F.trim(number).alias("id"), lang.alias("lang"), author.alias("author")))

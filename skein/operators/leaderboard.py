@@ -49,7 +49,10 @@ def wide(results: DataFrame, slices: list[str], column: str = "bucket") -> DataF
 
 
 def rollup_genre(results: DataFrame) -> DataFrame:
-    """From genres to primary genres: counts add up, pool sizes take the extremes, metrics are weighted by queries."""
+    """From genres to primary genres: counts (num_...) add up, pool sizes take the extremes (min_..., max_...), all other
+    metrics are weighted by queries."""
     r = results.withColumn("primary_genre", X.primary("bucket"))
-    weighted = F.sum(F.col("value") * F.col("n_queries")) / F.sum("n_queries")
-    return r.groupBy("model", "metric", "primary_genre").agg(F.sum("n_queries").alias("n_queries"), F.when(F.sum("n_queries") > 0, weighted).alias("value"))
+    weighted = F.when(F.sum("n_queries") > 0, F.sum(F.col("value") * F.col("n_queries")) / F.sum("n_queries"))
+    name = F.col("metric")
+    value = F.when(name.startswith("num_"), F.sum("value")).when(name.startswith("min_"), F.min("value")).when(name.startswith("max_"), F.max("value")).otherwise(weighted)
+    return r.groupBy("model", "metric", "primary_genre").agg(F.sum("n_queries").alias("n_queries"), value.alias("value"))

@@ -2,7 +2,7 @@
 and the pair calibrator.
 
 All are long tables (doc_id, term, weight); dot products are joins on the term. A term that a large share of all
-documents have has next to no weight, but still counts: such joins are left to AQE's skew handling.
+documents have has next to no weight, but still counts: its rows are dealt to SALTS parts.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.skew import hot_keys
 
+SALTS = 16
 NGRAMS = (3, 4, 5)
 FEATURES, ENTROPY_FEATURES, ORDER, ALPHA = 1 << 16, 8192, 4, 0.5
 
@@ -55,9 +57,13 @@ def unit(counts: DataFrame, key: str) -> DataFrame:
 def sparse_dot(queries: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """(query_id, candidate_id, score) of pairs with a common term and different ids. Pairs without one score 0 and are
     accounted for by the caller as a block of tied scores."""
-    q = queries.select(F.col(key).alias("query_id"), "term", F.col("weight").alias("wq"))
-    r = rows.select(F.col(key).alias("candidate_id"), "term", F.col("weight").alias("wr"))
-    return q.join(r, "term").where("query_id <> candidate_id").groupBy("query_id", "candidate_id").agg(F.sum(F.col("wq") * F.col("wr")).alias("score"))
+    hot = F.broadcast(hot_keys(rows, "term", rows.count()).withColumn("__hot", F.lit(True)))  # fewer than HOT_PARTS terms
+    q = queries.select(F.col(key).alias("query_id"), "term", F.col("weight").alias("wq")).join(hot, "term", "left")
+    q = q.withColumn("salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    r = rows.select(F.col(key).alias("candidate_id"), "term", F.col("weight").alias("wr")).join(hot, "term", "left")
+    r = r.withColumn("salt", F.when(F.col("__hot"), F.pmod(F.xxhash64("candidate_id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    met = q.drop("__hot").join(r.drop("__hot"), ["term", "salt"]).where("query_id <> candidate_id")
+    return met.groupBy("query_id", "candidate_id").agg(F.sum(F.col("wq") * F.col("wr")).alias("score"))
 
 
 def bucket(term: Column, n: int) -> Column:

@@ -220,11 +220,11 @@ def genre_rollup_weighted(spark, d):
 
 
 @query("""
-WITH r AS (SELECT doc_id, author_id, row_number() OVER (PARTITION BY author_id ORDER BY md5(doc_id), doc_id) AS r, count(*) OVER (PARTITION BY author_id) AS n FROM processed_documents WHERE author_id IS NOT NULL)
-SELECT author_id, any_value(n) AS n_docs, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM r WHERE n >= 2 AND r <= 64 GROUP BY author_id""")
+SELECT author_id, n_docs, doc_id FROM (SELECT author_id, doc_id, count(*) OVER (PARTITION BY author_id) AS n_docs FROM processed_documents WHERE author_id IS NOT NULL) WHERE n_docs >= 2""")
 def author_text_map(spark, d):
+    """The map's documents, one a row: its blocks are of bounded length, and all of an author's documents are in them."""
     m = T.author_map(docs(spark, d, "doc_id", "author_id"), "author_id", "doc_id")
-    return m.withColumn("ids", F.array_join("ids", ","))
+    return m.select("author_id", "n_docs", F.explode("ids").alias("doc_id"))
 
 
 @query("""

@@ -19,7 +19,9 @@ def jsonl(df: DataFrame, path: str, partition_by: str | None = None) -> None:
 
 
 def csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    """With a header; outer blanks are kept. Readers take an empty text for a null."""
+    keep = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df.write.mode("overwrite").options(**keep).csv(path)
 
 
 def _rows(df: DataFrame) -> list[dict]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as X
 from skein.plans import skew
-from skein.operators import chunking, dedup, detection, lexical, sampling, scoring, splits, training
+from skein.operators import chunking, dedup, detection, lexical, sampling, scoring, splits, studies, training
 from skein.plans.skew import split_join
 from skein.sources import readers, writers
 
@@ -256,3 +256,43 @@ def test_topic_clusters_in_each_language_and_genre(spark, small):
     from skein.queries.audits import topic_clusters
 
     assert topic_clusters(spark, small).columns == ["doc_id", "language", "primary_genre", "topic_cluster"]
+
+
+def test_stratified_sample_and_dedup_summary(spark, small):
+    rows = [(f"d{i:03}", "hot" if i % 3 else None, f"g{i % 5}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id string, a string, b string")
+    got = studies.stratified_sample(df, ["a", "b"], "doc_id", 60, 1).collect()
+    n = {}
+    for r in got:
+        n[r.a, r.b] = n.get((r.a, r.b), 0) + 1
+    assert len(got) == 60 and len(n) == 10 and all(abs(v - (8 if a else 4)) <= 1 for (a, _), v in n.items())
+    assert studies.stratified_sample(df.limit(0), ["a", "b"], "doc_id", 60, 1).count() == 0
+    from skein.queries.studies import dedup_summary
+
+    steps = {r.step: r for r in dedup_summary(spark, small).collect()}
+    assert steps["exact"].n_in - steps["exact"].n_dropped == steps["near"].n_in and all(0 <= r.n_dropped < r.n_in for r in steps.values())
+
+
+def test_capped_pool_keeps_positives(spark):
+    rows = [(q, c, c / 100, c % 10 == 0) for q in (1, 2) for c in range(100)]
+    df = spark.createDataFrame(rows, "query_id int, candidate_id int, score double, positive boolean")
+    got = studies.capped_pool(df, 25, 42).collect()
+    for q in (1, 2):
+        mine = [r for r in got if r.query_id == q]
+        assert len(mine) == 25 and sum(r.positive for r in mine) == 10
+    assert {r.candidate_id for r in got if r.query_id == 1} != {r.candidate_id for r in got if r.query_id == 2}
+    assert sum(r.positive for r in studies.capped_pool(df, 5, 42).collect()) == 20
+
+
+def test_catalogue_entry(spark):
+    rows = [("Text", "12", "xx; EN;fr", "Ann; Bob"), (" text ", " 7 ", "de", " ;Cid"), ("Sound", "1", "en", "A"), ("Text", "x1", "en", "A"), ("Text", "2", "xx", "A"), ("Text", "3", "en", " ; "), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "k string, n string, l string, a string")
+    got = [r.e and tuple(r.e) for r in df.select(X.catalogue_entry(*map(F.col, "knla"), ["en", "fr", "de"]).alias("e")).collect()]
+    assert got == [("12", "en", "Ann"), ("7", "de", "Cid"), None, None, None, None, None]
+
+
+def test_topic_shortcut(spark, small):
+    from skein.queries.studies import topic_shortcut
+
+    r = topic_shortcut(spark, small).first()
+    assert r.n_pairs > 0 and 0 <= r.pct_same_topic <= 100
