@@ -11,7 +11,7 @@ from .registry import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["dirty_reason_counts"](spark, sf_dir)
+    return QUERIES["construct"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

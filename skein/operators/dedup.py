@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
-from ..session import ship, stash
+from ..session import release, ship, stash
 
 NEAR_BITS, AUTHOR_BITS, BANDS, LEAST_TOKENS, PROFILE_DOCS = 5, 3, 4, 20, 3
 _WORD = re.compile(r"[^\W]+")
@@ -110,7 +110,10 @@ def greedy(pairs: DataFrame) -> DataFrame:
             F.min(F.when(F.col("lo_status") == "kept", F.col("lo"))).alias("kept_by"), F.max((F.col("lo_status") == "open").cast("int")).alias("waits")
         )
         new = F.when(F.col("status") != "open", F.col("status")).when(F.col("kept_by").isNotNull(), "dropped").when(F.coalesce("waits", F.lit(0)) == 0, "kept").otherwise("open")
-        state = stash(state.join(seen, "id", "left").select("id", new.alias("status"), F.coalesce("matched_by", F.when(new == "dropped", F.col("kept_by"))).alias("matched_by")), "state")
+        after = stash(state.join(seen, "id", "left").select("id", new.alias("status"), F.coalesce("matched_by", F.when(new == "dropped", F.col("kept_by"))).alias("matched_by")), "state")
+        release(state)
+        state = after
+    release(pairs)
     return state
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _OWN_FOLDER: dict[str, str] = {}
+_SWEPT: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -30,11 +31,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def workdir(spark: SparkSession) -> str:
     """The folder that every executor can reach. The session's spark.checkpoint.dir names it; only where that is
-    unset (tests on one machine) a folder of our own is made and set."""
+    unset on one machine (tests) a folder of our own is made and set. On a cluster an unset folder is an error."""
     app = spark.sparkContext.applicationId
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _OWN_FOLDER:
         _OWN_FOLDER[app] = tempfile.mkdtemp(prefix="skein-")
         spark.sparkContext.setCheckpointDir(_OWN_FOLDER[app])
@@ -42,14 +45,45 @@ def workdir(spark: SparkSession) -> str:
     return _OWN_FOLDER[app]
 
 
+def tables(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{workdir(spark)}/skein/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stash(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives executor loss and
-    lets several readers prune columns. The schema is kept, so nothing is inferred."""
+    lets several readers prune columns. The schema is kept, so nothing is inferred. The table stays until ``release`` or
+    ``sweep``, and at most until the program ends where the folder is a plain one."""
     spark = df.sparkSession
-    path = f"{workdir(spark)}/skein/{name}-{uuid.uuid4().hex}"
+    folder = tables(spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    local = folder.removeprefix("file://").removeprefix("file:")
+    if "://" not in local and local not in _SWEPT:
+        _SWEPT.add(local)
+        atexit.register(shutil.rmtree, local, True)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash = path
+    return out
+
+
+def release(*stashed: DataFrame | None) -> None:
+    """Delete stashed tables that nothing reads any more, as the rounds of an iteration once the next one is written."""
+    for df in stashed:
+        path = getattr(df, "_stash", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; frames that read them can't be used any more."""
+    _delete(spark, tables(spark))
 
 
 def ship(spark: SparkSession) -> None:
