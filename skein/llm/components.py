@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.skew import hot_keys, split_join
-from ..session import stash
+from ..session import release, stash
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,32 +25,35 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select("a", "b").where("a is not null and b is not null")
     nodes_alone = e.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
     e = stash(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    labels = None
+    labels = held = None  # held: the table that labels reads
     left = e.count()
     while left:
         ends = e.union(e.select("b", "a"))
         parent = ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
-        parent = stash(parent, "parents")
+        parent = written = stash(parent, "parents")
         while True:  # pointer jumping: each pass halves the depth
             hot = hot_keys(parent, "up", left)
             top = parent.select(F.col("node").alias("up"), F.col("up").alias("up2"))
             jumped = stash(split_join(parent, top, "up", hot).select("node", F.col("up2").alias("up"), (F.col("up") != F.col("up2")).alias("moved")), "jumped")
-            parent = jumped.select("node", "up")
+            release(written)
+            written, parent = jumped, jumped.select("node", "up")
             if not jumped.where("moved").limit(1).count():
                 break
-        if labels is None:
-            labels = parent.select("node", F.col("up").alias("root"))
-        else:
-            old = labels.select("node", F.col("root").alias("key"))
-            named = parent.select(F.col("node").alias("key"), F.col("up").alias("to"))
-            labels = old.join(named, "key", "left").select("node", F.coalesce("to", "key").alias("root"))
-            labels = stash(labels, "labels")
         left_end = parent.select(F.col("node").alias("a"), F.col("up").alias("ra"))
         right_end = parent.select(F.col("node").alias("b"), F.col("up").alias("rb"))
         e1 = split_join(e, left_end, "a", hot_keys(e, "a", left)).select("ra", "b")
         e2 = split_join(e1, right_end, "b", hot_keys(e, "b", left)).select("ra", "rb").where("ra <> rb")
-        e = stash(e2.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "edges")
-        left = e.count()
+        after = stash(e2.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "edges")
+        release(e)
+        e, left = after, after.count()
+        if labels is None:
+            labels, held = parent.select("node", F.col("up").alias("root")), written
+        else:
+            old = labels.select("node", F.col("root").alias("key"))
+            named = parent.select(F.col("node").alias("key"), F.col("up").alias("to"))
+            labels = stash(old.join(named, "key", "left").select("node", F.coalesce("to", "key").alias("root")), "labels")
+            release(held, written)
+            held = labels
     if labels is None:
         return nodes_alone.distinct()
     return labels.unionByName(nodes_alone.distinct().join(labels, "node", "left_anti"))
