@@ -163,10 +163,30 @@ r AS (SELECT regexp_extract(lower(trim(lang)), '^([a-z]+)(?:[-_].*)?$', 1) AS b,
 c AS (SELECT {_LABEL} AS lang, genre, length_bucket, count(*) AS n FROM r GROUP BY ALL), n AS (SELECT count(*) // 10 AS n FROM processed_documents)"""
 
 
+_NEAR = f"""{_NORMAL},
+t AS (SELECT doc_id, {_FORM.format('text')} AS s FROM processed_documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, list_distinct(list_transform(range(1, len(s) - 3), lambda i: substring(s, i, 5))) AS l FROM t WHERE len(s) >= 204),
+u AS (SELECT doc_id, len(l) AS n, hash(unnest(l)) AS h FROM l WHERE len(l) >= 200),
+near AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n)
+ GROUP BY a.doc_id, b.doc_id HAVING count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.7)"""
+_RELATED = """
+k AS (SELECT doc_id, 'a:' || nullif(lower(trim(author_id)), '') AS a, 'r:' || nullif(lower(trim(source)), '') || '|' || split_part(raw_id, '#', 1) AS r FROM processed_documents),
+e0 AS (SELECT a AS x, r AS y FROM k WHERE a IS NOT NULL AND r IS NOT NULL UNION SELECT 'a:' || nullif(lower(trim(author_id_a)), ''), 'a:' || nullif(lower(trim(author_id_b)), '') FROM author_links WHERE trim(author_id_a) <> '' AND trim(author_id_b) <> ''),
+e AS (SELECT x, y FROM e0 UNION SELECT y, x FROM e0), v AS (SELECT a AS x FROM k WHERE a IS NOT NULL UNION SELECT r FROM k WHERE r IS NOT NULL),
+w(x, root) AS (SELECT x, x FROM v UNION SELECT e.y, w.root FROM w JOIN e USING (x)), c AS (SELECT x, min(root) AS root FROM w GROUP BY x),
+d AS (SELECT k.doc_id, coalesce(c.root, 'd:' || k.doc_id) AS root FROM k LEFT JOIN c ON c.x = coalesce(k.r, k.a)), g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS group_doc_id FROM d),
+s AS (SELECT DISTINCT group_doc_id, split FROM g JOIN split_documents USING (doc_id) WHERE split IS NOT NULL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL can say about the operators' results on whole tables in reasonable time; the rest is tested against
     brute force on small rows."""
     return {
+        "p1_found": f"WITH {_NEAR} SELECT doc_id_a, doc_id_b FROM near JOIN f x ON x.doc_id = doc_id_a JOIN f y ON y.doc_id = doc_id_b WHERE x.form <> y.form",
+        "p2_found": f"WITH RECURSIVE {_RELATED} SELECT group_doc_id, split FROM s WHERE group_doc_id IN (SELECT group_doc_id FROM s GROUP BY ALL HAVING count(*) > 1)",
+        "p6_found": f"""WITH {_NEAR}, sp AS (SELECT DISTINCT doc_id, split FROM split_documents WHERE split IS NOT NULL),
+ same AS (SELECT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b FROM f x JOIN f y ON x.form = y.form AND x.form <> '' AND x.doc_id < y.doc_id)
+SELECT doc_id_a, doc_id_b FROM (SELECT * FROM near UNION SELECT * FROM same) JOIN sp p ON p.doc_id = doc_id_a JOIN sp q ON q.doc_id = doc_id_b WHERE (p.split = 'train') <> (q.split = 'train')""",
         "p3_found": f"SELECT doc_id FROM processed_documents WHERE {_UNITS} > 500",
         "p4_found": f"WITH {_NORMAL}, m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS first_doc_id FROM f WHERE form <> '') SELECT first_doc_id, doc_id FROM m WHERE doc_id <> first_doc_id",
         "p4_collapsed": f"WITH {_NORMAL} SELECT min(doc_id) AS first_doc_id, count(*) AS n_copies FROM f WHERE form <> '' GROUP BY form",
