@@ -80,6 +80,21 @@ def bucket_fill(df: DataFrame, group: str, bucket: str, key: str, target: int, w
     return r.withColumn("pass", F.when(F.col("__first"), "quota").otherwise("fill")).drop("__u", "__first", "__r")
 
 
+def planned_fill(df: DataFrame, group: str, cell: str, key: str, targets: dict[str, int], weights: dict[str, float], seed: int) -> DataFrame:
+    """``bucket_fill`` for all groups in one plan, each with its own target: first by the cells' shares of the target,
+    then from what is left, null and unweighted cells included. Groups without target are left out. Both ranks go by
+    ranges of the random key, so neither a group nor a cell is ever in one task."""
+    spark = df.sparkSession
+    plan = [(g, t, c, n) for g, t in targets.items() for c, n in targets_of(t, weights).items()]
+    goals = F.broadcast(spark.createDataFrame(list(targets.items()), f"{group} string, __target int"))  # groups x cells of the plan
+    quotas = F.broadcast(spark.createDataFrame([(g, c, n) for g, _, c, n in plan], f"{group} string, {cell} string, __quota int"))
+    u = shuffle_key(seed, F.col(key))
+    r = in_order(df.join(goals, group), [group, cell], u, key, "__i").join(quotas, [group, cell], "left")
+    r = r.withColumn("__first", F.coalesce(F.col("__i") <= F.col("__quota"), F.lit(False)))
+    r = in_order(r, [group], F.concat(F.when(F.col("__first"), "0").otherwise("8"), u), key, "__r").where(F.col("__r") <= F.col("__target"))
+    return r.select(*df.columns, F.when(F.col("__first"), "quota").otherwise("fill").alias("pass"))
+
+
 def genre_key(genre, targets: list[str]):
     """The first target that the genre equals or lies under, else null."""
     out = F.lit(None).cast("string")

@@ -296,3 +296,31 @@ def test_topic_shortcut(spark, small):
 
     r = topic_shortcut(spark, small).first()
     assert r.n_pairs > 0 and 0 <= r.pct_same_topic <= 100
+
+
+def test_planned_fill_is_bucket_fill_of_each_group(spark):
+    rnd = random.Random(2)
+    rows = [(f"d{i:04}", rnd.choice("xyz"), rnd.choice(["a", "b", "c", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id string, g string, c string")
+    weights = {"a": 0.6, "b": 0.4}
+    got = {(r.doc_id, r["pass"]) for r in sampling.planned_fill(df, "g", "c", "doc_id", {"x": 120, "y": 30}, weights, 5).collect()}
+    want = set()
+    for g, n in (("x", 120), ("y", 30)):
+        want |= {(r.doc_id, r["pass"]) for r in sampling.bucket_fill(df.where(F.col("g") == g), "g", "c", "doc_id", n, weights, 5).collect()}
+    assert got == want and len(got) == 150
+
+
+def test_construct_and_merge(spark, small):
+    """Chunks are named after their document, splits keep to the stages' counts, documents without author stay."""
+    from skein.plans import pipelines
+
+    raw = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "raw_id", "author", "text", "lang", "source", "genre")
+    c = pipelines.construct(raw, 50, genres={"news": 0.5, "social_media": 0.5})
+    n = {r.name: r.n for r in c.stages.collect()}
+    assert n["raw"] >= n["clean"] == n["audited"] >= n["author_capped"] and n["sampled"] <= 50 and n["unique"] <= n["chunked"]
+    assert c.documents.select("doc_id").distinct().count() == n["with_role"]
+    docs = [(f"d{i}", None if i % 5 == 0 else f"a{i % 7}", f"the text of number {i} and its own words w{i} x{i * 7} y{i * 13} z{i * 17} " * 3, "en", "s", "news") for i in range(60)]
+    p = spark.createDataFrame([*docs, ("again", "a1", docs[3][2], "en", "s", "news")], "doc_id string, author_id string, text string, lang string, source string, genre string")
+    m = pipelines.merge(p.where("doc_id <> 'again'"), p.where("doc_id = 'again'")).collect()
+    assert "d3" not in {r.doc_id for r in m} and "again" in {r.doc_id for r in m}
+    assert all(r.split and (r.retrieval_role is None) == (r.author_id is None) for r in m) and any(r.author_id is None for r in m)
