@@ -218,28 +218,19 @@ def _single_run(t: Column) -> Column:
     return F.aggregate(t, init, step, lambda acc: acc["best"])
 
 
-def collapse_spaced(text: Column | str, least: int = 2) -> Column:
-    """Runs of at least ``least`` one-letter tokens become one word; the tokens are joined by single blanks, without
-    blanks before ``,.;!?`` and inside round brackets. Paragraph ends vanish, as they do wherever it is applied."""
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("run"))
-
-    def closed(acc: Column) -> Column:
-        joined = F.when(F.size(acc["run"]) >= least, F.array(F.array_join(acc["run"], ""))).otherwise(acc["run"])
-        return F.concat(acc["out"], joined)
-
-    def step(acc: Column, t: Column) -> Column:
-        single = F.struct(acc["out"].alias("out"), F.concat(acc["run"], F.array(t)).alias("run"))
-        other = F.struct(F.concat(closed(acc), F.array(t)).alias("out"), F.array().cast("array<string>").alias("run"))
-        return F.when(single_letter(t), single).otherwise(other)
-
-    flat = F.aggregate(tokens(text), init, step, lambda acc: F.array_join(closed(acc), " "))
+def collapse_spaced(text: Column | str) -> Column:
+    """Runs of two or more one-letter tokens become one word; the tokens are joined by single blanks, without blanks
+    before ``,.;!?`` and inside round brackets. Paragraph ends vanish, as they do wherever it is applied. A blank is
+    inside a run if the token on either side is one letter, so one pass finds them all."""
+    flat = F.array_join(tokens(text), " ")
+    flat = F.regexp_replace(flat, r"(?<=(?<![^ ])\p{L}) (?=\p{L}(?![^ ]))", "")
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(flat, r" +([,.;!?])", "$1"), r"\( +", "("), r" +\)", ")"))
 
 
 def despaced(text: Column | str, ratio: float = 0.25, run: int = 2) -> Column:
     """The text, collapsed where its one-letter tokens call for it."""
     spaced = bind(tokens(text), lambda t: (_single_share(t) >= ratio) | (_single_run(t) >= run))
-    return F.when(spaced, collapse_spaced(text, run)).otherwise(as_column(text))
+    return F.when(spaced, collapse_spaced(text)).otherwise(as_column(text))
 
 
 def letter_share(text: Column | str) -> Column:

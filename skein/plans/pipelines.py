@@ -22,7 +22,7 @@ def _cleaned(raw: DataFrame) -> DataFrame:
     """Raw documents to processed ones: spaced letters collapsed, lengths taken from the text, dirty ones dropped. Native
     tests run before anything in Python."""
     d = raw.where(F.col("text").isNotNull() & F.col("author").isNotNull()).withColumn("source", F.lower(F.trim("source"))).withColumn("lang", X.canonical_language("lang")).withColumn("text", X.despaced("text"))
-    d = stash(d, "despaced")  # the collapse is a fold over all tokens: written once, not inlined into every later test
+    d = stash(d, "despaced")  # written once, not inlined into every later test
     d = d.withColumn("token_length", X.token_count("text")).withColumn("length_bucket", X.length_class("token_length")).withColumn("author_id", X.author_key("source", "author"))
     return d.where(X.filter_reason("text", "source", "lang").isNull())
 
