@@ -59,3 +59,43 @@ def test_entropy_of_missing_null_and_short_texts(spark):
 
 
 
+@pytest.mark.parametrize("hot", [0, 3, 256])
+def test_products_are_those_of_the_counts(monkeypatch, hot):
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "HOT", hot)
+    draw = random.Random(hot)
+    texts = [[draw.choice(["the", "of", "naïve", "日本語の文", "a", "stone", "stones"]) for _ in range(draw.randrange(9))] for _ in range(70)] + [[], ["alone"]]
+    space = vectors.Hashed(512)
+    rows = pa.array(texts, pa.list_(pa.string()))
+
+    def count(words):
+        terms = [*(g for w in words for g in vectors.grams(w)), *("w:" + w for w in words), *(f"w:{a} {b}" for a, b in zip(words, words[1:]))]
+        return Counter(space.places(terms).tolist()) if terms else Counter()
+
+    t = vectors.Texts(rows, space)
+    q = vectors.Queries(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(["x"] * len(texts)), rows], names=["a", "b", "c"]), space)
+    got = vectors.products(t, q, space.n)
+    c = [count(w) for w in texts]
+    norm = [sum(v * v for v in x.values()) ** 0.5 for x in c]
+    assert [n for _, _, n in t.vectors(space.weight)] == pytest.approx(norm)
+    want = np.array([[sum(x[k] * y[k] for k in x) / (n or 1) for y, n in zip(c, norm)] for x in c])
+    assert np.allclose(got, want) and ((got == 0) == (want == 0)).all()
+
+
+PAIRS = ["hashed_ngram_eer"]
+
+
+@pytest.mark.parametrize("name", PAIRS)
+def test_all_pairs_scorers_move_neither_terms_nor_pairs(spark, name):
+    vocabulary = 0 if name.startswith(("hashed", "near")) else 6_000_000  # a row for each distinct term of a task
+    assert moved(spark, name) < 4 * read("documents") + 300_000 + vocabulary
+
+
+@pytest.mark.parametrize("name", PAIRS)
+def test_all_pairs_scorers_on_more_rows_than_the_smallest_tables(spark, name):
+    got, want = both(spark, FOLDER, catalogue.queries()[name], catalogue.oracle_sql()[name])
+    assert got == want
