@@ -86,7 +86,7 @@ def test_products_are_those_of_the_counts(monkeypatch, hot):
     assert np.allclose(got, want) and ((got == 0) == (want == 0)).all()
 
 
-PAIRS = ["hashed_ngram_eer", "tfidf_eer", "near_pair_kinds", "hashed_ngram_roc_auc", "tfidf_roc_auc", "hashed_ngram_cosine", "near_pair_examples", "scorer_leaderboard"]
+PAIRS = ["hashed_ngram_eer", "tfidf_eer", "near_pair_kinds", "hashed_ngram_roc_auc", "tfidf_roc_auc", "hashed_ngram_cosine", "near_pair_examples", "scorer_leaderboard", "tfidf_cosine"]
 
 
 @pytest.mark.parametrize("name", PAIRS)
