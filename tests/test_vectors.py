@@ -86,6 +86,39 @@ def test_products_are_those_of_the_counts(monkeypatch, hot):
     assert np.allclose(got, want) and ((got == 0) == (want == 0)).all()
 
 
+
+def batch(texts):
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(["x"] * len(texts)), pa.array(texts, pa.list_(pa.string()))], names=["a", "b", "c"])
+
+
+def test_vectors_of_queries_are_worked_out_once_for_all_batches_of_texts(monkeypatch, tmp_path):
+    import pyarrow.parquet as pq
+
+    texts = [["one", "two"], [], ["two", "two", "three"], ["four"], ["one", "two"]]
+    space = vectors.Hashed(512)
+    pq.write_table(pa.Table.from_batches([vectors.encoded(batch(texts), space)]), tmp_path / "q.parquet")
+    made = []
+    texts_of = vectors.Texts
+    monkeypatch.setattr(vectors, "Texts", lambda *a: made.append(1) or texts_of(*a))
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    monkeypatch.setattr(vectors, "ROWS", 2)
+    got = {(int(i), int(j)): int(v) for ids, _, _, q, s in vectors._scored(iter([batch(texts)]), str(tmp_path), ("hashed", 512)) for i, x in zip(ids, s) for j, v in zip(q.ids, x)}
+    assert len(made) == 3 and len(got) == 25
+    assert got[0, 4] == got[4, 0] == got[2, 2] == vectors.SCALE and got[1, 1] == got[0, 1] == -1 and 0 < got[0, 2] < vectors.SCALE
+
+
+def test_sums_above_single_precision_are_exact():
+    import numpy as np
+
+    space = vectors.Hashed(512)
+    t, q = vectors.Texts(batch([["a"] * 4097]).column(2), space), vectors.Queries(batch([["a"] * 4099, ["b"]]), space)
+    at, w, norm = next(t.vectors(space.weight))
+    have = np.zeros(512)
+    have[at] = w
+    want = sum(have[p] * v for p, v, i in zip(q.known[q.row], q.value, q.query) if i == 0)
+    assert want > vectors.EXACT and vectors.products(t, q, space.n, norm)[0, 0] == want / q.norm[0]
+
+
 PAIRS = ["hashed_ngram_eer", "tfidf_eer", "near_pair_kinds", "hashed_ngram_roc_auc", "tfidf_roc_auc", "hashed_ngram_cosine", "near_pair_examples", "scorer_leaderboard", "tfidf_cosine"]
 
 
