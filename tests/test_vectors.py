@@ -107,6 +107,31 @@ def test_vectors_of_queries_are_worked_out_once_for_all_batches_of_texts(monkeyp
     assert got[0, 4] == got[4, 0] == got[2, 2] == vectors.SCALE and got[1, 1] == got[0, 1] == -1 and 0 < got[0, 2] < vectors.SCALE
 
 
+def test_small_batches_are_joined_and_large_ones_cut(monkeypatch):
+    monkeypatch.setattr(vectors, "TOKENS", 6)
+    monkeypatch.setattr(vectors, "ROWS", 3)
+    texts = [["a"], [], ["b", "c"], ["d"], ["e"] * 9, ["f"] * 4, ["g"] * 2, [], []]
+    for step in (1, 2, 4, 9):
+        got = [b.column(2).to_pylist() for b in vectors._cut((batch(texts[i : i + step]) for i in range(0, 9, step)), 2)]
+        assert got == [texts[:3], texts[3:4], texts[4:5], texts[5:8], texts[8:]]
+
+
+@pytest.mark.parametrize("groups", [1, 2, 24])
+def test_groups_of_texts_change_no_product(monkeypatch, groups):
+    import numpy as np
+
+    texts = [["the", "stone", str(i % 7)] for i in range(40)] + [["la", "pierre", str(i % 5), "la"] for i in range(40)] + [[], ["x" * 900]]
+    space, found = vectors.Hashed(512), []
+    for g, hot in ((groups, 512), (1, 0)):
+        monkeypatch.setattr(vectors, "GROUPS", g)
+        monkeypatch.setattr(vectors, "HOT", hot)
+        t, q = vectors.Texts(batch(texts).column(2), space), vectors.Queries(batch(texts), space)
+        found.append(vectors.products(t, q, space.n, max(n for _, _, n in t.vectors(space.weight))))
+    assert np.array_equal(*found) and found[0].max() > 0
+    none = vectors.Texts(batch([[], []]).column(2), space)
+    assert not vectors.products(none, q, space.n).any()
+
+
 def test_sums_above_single_precision_are_exact():
     import numpy as np
 
