@@ -157,3 +157,33 @@ def test_all_pairs_scorers_move_neither_terms_nor_pairs(spark, name):
 def test_all_pairs_scorers_on_more_rows_than_the_smallest_tables(spark, name):
     got, want = both(spark, FOLDER, catalogue.queries()[name], catalogue.oracle_sql()[name])
     assert got == want
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+
+    for x in ([], [0], [1, 0, 255, 256, -1], [2**63 - 1, -(2**63), 7], range(70_000)):
+        assert vectors.unpacked(vectors.packed(np.array(x, np.int64))).tolist() == list(x)
+    few = np.zeros(vectors.SCORES, np.int64)
+    few[5:50] = 3
+    assert len(vectors.packed(few)) < few.nbytes / 100
+    h = np.sort(np.array([vectors.digest(str(i)) for i in range(5_000)], np.uint64))
+    steps = vectors.packed(np.diff(h, prepend=np.uint64(0)))
+    assert len(steps) < 7.5 * len(h) and np.array_equal(np.cumsum(vectors.unpacked(steps), dtype=np.int64), h.view(np.int64))
+
+
+def test_ranked_scores_are_not_shuffled_and_have_all_pairs(spark):
+    from skein.operators import scoring
+    from skein.queries import lexicon
+
+    have = spark.createDataFrame([(0.25, 2, 5), (0.0, 1, 1), (0.5, 3, 0)], "score double, p bigint, n bigint")
+    rows = lexicon.with_zeros(spark, FOLDER, have)
+    got = {r.score: (r.p, r.n) for r in rows.collect()}
+    docs, queries = (spark.read.parquet(f"{FOLDER}/documents.parquet").where(x).count() for x in ("true", "doc_id % 50 = 0"))
+    assert got.keys() == {0.0, 0.25, 0.5} and got[0.25] == (2, 5) and sum(p + n for p, n in got.values()) == queries * (docs - 1)
+    for ranked in (scoring.eer(rows), scoring.roc_auc(rows)):
+        assert "Exchange" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_leaderboard_moves_packed_ranges(spark):
+    assert moved(spark, "scorer_leaderboard") < 18 * read("documents")  # most of it terms of few documents
